@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.oracle_text import epoch_ms_sql, match_id_sql, player_sql
+from quern.operators.nested import match_children, objects, shred_and_keep
 from quern.operators.orphans import match_reference_orphans, orphan_counts, orphans_by_period
 from quern.operators.sessions import chunked_sessions, play_sessions
 from quern.sources.tables import table
@@ -44,7 +45,22 @@ def p3_line_orphans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_event_sessions": p1_event_sessions, "p3_found": p3_found, "p3_by_period": p3_by_period, "p3_line_orphans": p3_line_orphans}
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return shred_and_keep(table(spark, d, "raw_match_docs"), "record_id", "payload", "source_file")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return match_children(_nodes(spark, d))
+
+
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct objects and bridge rows by role: the sizes of the flat tables."""
+    nodes = _nodes(spark, d)
+    sizes = objects(nodes).groupBy("role").agg(F.count("*").alias("objects"), F.sum(F.size("parts")).alias("bridge_rows"))
+    return sizes.select("role", "objects", "bridge_rows")
+
+
+QUERIES = {"p4_found": p4_found, "p4_tables": p4_tables, "p1_found": p1_found, "p1_event_sessions": p1_event_sessions, "p3_found": p3_found, "p3_by_period": p3_by_period, "p3_line_orphans": p3_line_orphans}
 
 _P3 = f"""
 with pr as (select distinct {match_id_sql('match_id')} m, {player_sql('puuid')} p from match_participants),
