@@ -14,7 +14,8 @@ def match_id_sql(c: str) -> str:
 
 def bundle_sql(c: str) -> str:
     plain = rf"regexp_replace({strip_sql(c)}, '[/\\\s]+$', '')"
-    return rf"nullif(lower({strip_sql(f'regexp_replace({plain}, {chr(39)}^.*[/\\]{chr(39)}, {chr(39)}{chr(39)})')}), '')"
+    last = rf"regexp_replace({plain}, '^.*[/\\]', '')"
+    return f"nullif(lower({strip_sql(last)}), '')"
 
 
 def player_sql(c: str) -> str:
