@@ -26,3 +26,17 @@ def player_sql(c: str) -> str:
 
 def epoch_ms_sql(c: str) -> str:
     return f"case when {c} < 100000000000 then {c} * 1000 when {c} < 100000000000000 then {c} when {c} < 100000000000000000 then {c} // 1000 else {c} // 1000000 end"
+
+
+def normal_quantile_sql(p: str) -> str:
+    """Quantile of the standard normal distribution of an expression in (0, 1), by AS 241."""
+    from quern.functions import ranks as r
+
+    def ratio(x: str, top: tuple, bottom: tuple) -> str:
+        poly = lambda cs: " + ".join(f"{c!r}::double * ({x}) ** {k}" for k, c in enumerate(cs))
+        return f"(({poly(top)}) / ({poly(bottom)}))"
+
+    q, t = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    middle = f"{q} * {ratio(f'(0.180625 - {q} * {q})', r._A, r._B)}"
+    side = f"case when {t} <= 5 then {ratio(f'({t} - 1.6)', r._C, r._D)} else {ratio(f'({t} - 5)', r._E, r._F)} end"
+    return f"case when abs({q}) <= 0.425 then {middle} else sign({q}) * {side} end"
