@@ -189,7 +189,7 @@ def r_probit_label(t):
     return g.where("mapped >= 30").select("c_nationkey", "mapped", F.round("skill", 9).alias("skill"))
 
 
-_DENSITY = "exp(-({0}) ** 2 / 2) / sqrt(2 * pi())"
+_DENSITY = "exp(-0.5 * ({0}) * ({0})) / sqrt(2 * pi())"
 
 
 @R_.add(f"""with {_BINS}, q as (select ord, rank, lo, up, case when lo > 0 then {normal_quantile_sql('(lo / 100)')} end a, case when up < 99.9999999 then {normal_quantile_sql('(up / 100)')} end b from lad)
