@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.ids import clean_match_id, strip_space
-from quern.session import Workspace
+from quern.session import Workspace, spread
 
 NODE_SCHEMA = (
     "kind string, role string, hash binary, fields map<string,string>, "
@@ -181,7 +181,7 @@ def shred(records: DataFrame, id_column: str, payload_column: str, context_colum
     `objects` removes repeats. Nesting deeper than the interpreter allows counts as unreadable.
     """
     rows = records.select(F.col(id_column).cast("bigint"), F.col(payload_column).cast("string"), F.col(context_column).cast("string"))
-    return rows.mapInArrow(_shred_batches(root_key), NODE_SCHEMA)
+    return spread(rows).mapInArrow(_shred_batches(root_key), NODE_SCHEMA)
 
 
 def roots(nodes: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession, local_default: str = "/tmp/quern-shared")
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer partitions, for steps in Python; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; they outlive any executor."""
 
