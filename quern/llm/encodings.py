@@ -15,6 +15,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
+from quern.session import spread
+
 RESULT_SCHEMA = "doc_id bigint, found boolean, restored string, path string, cost_before double, cost_after double"
 
 # Letters beyond ASCII of the languages en, fr, de, es, pt, pl and common signs.
@@ -149,16 +151,8 @@ def _byte_of(ch: str, codec: str) -> bytes | None:
         return bytes([ord(ch)]) if codec in ("cp1252", "cp1250", "cp1251") and ord(ch) < 256 else None
 
 
-_RUNS = re.compile(r"[^\x00-\x7f]+(?: (?=[ \x00-\x7f]))?")
-
-
-def _around(text: str, a: int, b: int) -> tuple[int, int]:
-    """The word that holds text[a:b]."""
-    while a > 0 and not text[a - 1].isspace():
-        a -= 1
-    while b < len(text) and not text[b].isspace():
-        b += 1
-    return a, b
+_RUNS = re.compile(r"[^\x00-\x7f]+(?: $)?")
+_CHUNKS = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
 
 
 def _sequence(raw: list[bytes | None], i: int) -> int:
@@ -188,42 +182,68 @@ def _writable(run: str, codec: str) -> list[tuple[int, int]]:
     return out
 
 
-def _utf8_places(text: str, codec: str, least: float) -> str:
-    """UTF-8 sequences that were read as codec, decoded wherever that makes the words around plausible."""
+@lru_cache(maxsize=65536)
+def _utf8_readings(chunk: str, least: float) -> tuple[tuple[int, str], ...]:
+    """(number of the codec, chunk with UTF-8 sequences decoded) where that makes the chunk plausible.
+
+    A chunk is text without ASCII white space; a blank at its end may stand for a no-break space within a sequence.
+    """
+    out = []
+    for k, codec in enumerate(UTF8_READ_AS):
+        new = _utf8_reading(chunk, codec, least)
+        if new != chunk:
+            out.append((k, new))
+    return tuple(out)
+
+
+def _utf8_reading(chunk: str, codec: str, least: float) -> str:
     out, at = [], 0
-    for m in _RUNS.finditer(text):
+    for m in _RUNS.finditer(chunk):
         run = m.group()
         if codec in MULTI_BYTE:
-            for part in re.finditer(r"\S+", run):
-                for a, b in _writable(part.group(), codec):
-                    old = part.group()[a:b]
-                    new = b"".join(_byte_of(c, codec) for c in old).decode("utf-8", "replace")
-                    if cost(old) - cost(new) >= least:
-                        out += [text[at : m.start() + part.start() + a], new]
-                        at = m.start() + part.start() + b
+            for a, b in _writable(run.rstrip(" "), codec):
+                old = run[a:b]
+                new = b"".join(_byte_of(c, codec) for c in old).decode("utf-8", "replace")
+                if cost(old) - cost(new) >= least:
+                    out += [chunk[at : m.start() + a], new]
+                    at = m.start() + b
             continue
         raw = [_byte_of(c, codec) for c in run]
         if run.endswith(" "):
             raw[-1] = b"\xa0" if len(run) > 1 and raw[-2] == b"\xc3" else None
-        i, pieces = 0, []
+        i = 0
         while i < len(raw):
             j, new, count = i, [], 0
             while j < len(raw) and (n := _sequence(raw, j)):
                 new.append(b"".join(raw[j : j + n]).decode())
                 j, count = j + n, count + 1
             if count:
-                pieces.append((i, j, "".join(new), count))
-                i = j
-            else:
-                i += 1
-        for i, j, new, count in pieces:
-            a, b = m.start() + i, m.start() + j
-            wa, wb = _around(text, a, b)
-            gain = cost(text[wa:wb]) - cost(text[wa:a] + new + text[b:wb])
-            if gain >= least and gain >= 0.8 * count:
-                out += [text[at:a], new]
-                at = b
-    return "".join(out) + text[at:] if out else text
+                a, b = m.start() + i, m.start() + j
+                text = "".join(new)
+                gain = cost(chunk) - cost(chunk[:a] + text + chunk[b:])
+                if gain >= least and gain >= 0.8 * count:
+                    out += [chunk[at:a], text]
+                    at = b
+            i = max(j, i + 1)
+    return "".join(out) + chunk[at:] if out else chunk
+
+
+def _utf8_steps(text: str, least: float):
+    """(codec, text) for every codec that UTF-8 in the text may have been read as."""
+    changed: dict[int, list[tuple[int, int, str]]] = {}
+    for m in _CHUNKS.finditer(text):
+        a, b = m.span()
+        chunk = m.group()
+        if not chunk[-1].isascii() and text[b : b + 1] == " ":
+            chunk, b = chunk + " ", b + 1
+        for k, new in _utf8_readings(chunk, least):
+            changed.setdefault(k, []).append((a, b, new))
+    for k, places in sorted(changed.items()):
+        out, at = [], 0
+        for a, b, new in places:
+            out += [text[at:a], new]
+            at = b
+        yield UTF8_READ_AS[k], "".join(out) + text[at:]
 
 
 def _bad_before(words: list[str], gain: float, least: float, turned: bool) -> bool:
@@ -237,18 +257,33 @@ def _bad_before(words: list[str], gain: float, least: float, turned: bool) -> bo
     return before >= 1.3 * odd and (odd >= 4 or not turned)
 
 
-def _recode(word: str, read: str, written: str) -> str | None:
-    raw = [_byte_of(c, read) for c in word]
-    if None in raw:
-        return None
-    try:
-        return b"".join(raw).decode(written)
-    except UnicodeDecodeError:
-        return None
+@lru_cache(maxsize=65536)
+def _single_readings(word: str) -> dict[int, tuple[str, float]]:
+    """Number of the pair of codecs: (word decoded anew, gain), where the word can have been read so."""
+    out = {}
+    for k, (read, written) in enumerate(SINGLE_BYTE):
+        raw = [_byte_of(c, read) for c in word]
+        if None not in raw:
+            try:
+                new = b"".join(raw).decode(written)
+            except UnicodeDecodeError:
+                continue
+            out[k] = (new, word_cost(word) - word_cost(new))
+    return out
+
+
+def _single_steps(text: str, least: float):
+    """(read, written, text) for every pair of codecs that makes some stretch of the text far better."""
+    words = [(*m.span(), m.group(), _single_readings(m.group())) for m in _WORDS.finditer(text)]
+    hopeful = {k for _, _, _, r in words for k, (_, gain) in r.items() if gain > 0}
+    for k in sorted(hopeful):
+        new = _single_places(text, words, k, least)
+        if new is not None:
+            yield *SINGLE_BYTE[k], new
 
 
-def _single_places(text: str, read: str, written: str, least: float, slack: float = 3.0) -> str:
-    """Stretches of words read as `read`, decoded as `written` where that makes the stretch far better.
+def _single_places(text: str, words: list, k: int, least: float, slack: float = 3.0) -> str | None:
+    """The text with stretches of words decoded anew; None if there is no such stretch.
 
     A stretch grows over words beyond ASCII while the sum of their gains stays within slack of its best; it ends
     where it was best. Words that cannot have been read so end it too.
@@ -267,21 +302,20 @@ def _single_places(text: str, read: str, written: str, least: float, slack: floa
                 out.extend((text[at:a], new))
                 at = b
 
-    for m in _WORDS.finditer(text):
-        word = m.group()
-        new = _recode(word, read, written)
-        gain = None if new is None else word_cost(word) - word_cost(new)
-        if gain is None or total + gain < best - slack:
+    for a, b, word, readings in words:
+        new, gain = readings.get(k, (None, 0.0))
+        if stretch and (new is None or total + gain < best - slack):
             close()
             stretch, total, best, end = [], 0.0, 0.0, 0
-        if gain is None or not stretch and gain <= 0:
+        if new is None or not stretch and gain <= 0:
             continue
-        stretch.append((m.start(), m.end(), word, new))
+        stretch.append((a, b, word, new))
         total += gain
         if total > best:
             best, end = total, len(stretch)
-    close()
-    return "".join(out) + text[at:] if out else text
+    if stretch:
+        close()
+    return "".join(out) + text[at:] if out else None
 
 
 def steps(text: str, least: float):
@@ -289,10 +323,10 @@ def steps(text: str, least: float):
     if "&" in text:
         yield "unescape", html.unescape(text)
     if not text.isascii():
-        for codec in UTF8_READ_AS:
-            yield f"utf-8 read as {codec}", _utf8_places(text, codec, least)
-        for read, written in SINGLE_BYTE:
-            yield f"{written} read as {read}", _single_places(text, read, written, least)
+        for codec, new in _utf8_steps(text, least):
+            yield f"utf-8 read as {codec}", new
+        for read, written, new in _single_steps(text, least):
+            yield f"{written} read as {read}", new
 
 
 def restore(text: str, least: float = 2.5, step_cost: float = 0.5, most_states: int = 24) -> tuple[bool, str, str, float, float]:
@@ -369,4 +403,4 @@ def restore_texts(documents: DataFrame, least: float = 2.5) -> DataFrame:
     re-decodings, the text itself where none helps; null text stays null and is not found, nor is an empty one.
     Whole texts are searched, of any length; repeated rows are each answered. No shuffle: a scan with one Arrow step.
     """
-    return documents.select("doc_id", "text").mapInArrow(_batches(least), RESULT_SCHEMA)
+    return spread(documents.select("doc_id", "text")).mapInArrow(_batches(least), RESULT_SCHEMA)

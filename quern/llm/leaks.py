@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import spread
+
 RESULT_SCHEMA = "doc_id bigint, item_id bigint, kind string, words int, edits int, doc_word int, changed_slots int"
 
 # Words that follow a number as its unit.
@@ -109,26 +111,20 @@ class TemplateIndex:
             h = h * np.uint64(0x100000001B3) + (u[k : k + n] ^ (u[k : k + n] >> np.uint64(29)))
         return h
 
-    def template_ids(self, words: list[str], raw: str):
-        """Template ids of a document's words; -1 where no item can have the word."""
+    def template_ids(self, words: list[str]):
+        """(template ids of a document's words, which words no item has); such a word is taken for a name at first."""
         import numpy as np
 
         get = self.ids.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        unknown = np.flatnonzero(ids < 0)
-        if len(unknown):
-            names = None
-            for i in unknown.tolist():
-                w = words[i]
-                if w.isdecimal():
-                    ids[i] = NUMBER
-                elif w in UNITS:
-                    ids[i] = UNIT
-                else:
-                    names = _named_words(raw)[1] if names is None else names
-                    if w in names:
-                        ids[i] = NAME
-        return ids
+        for i in np.flatnonzero(ids < 0).tolist():
+            if words[i].isdecimal():
+                ids[i] = NUMBER
+            elif words[i] in UNITS:
+                ids[i] = UNIT
+        unknown = ids < 0
+        ids[unknown] = NAME
+        return ids, unknown
 
     def hits(self, ids) -> list[tuple[int, int, int]]:
         """(document word, place of the item, item word) of every window that some item's template has too."""
@@ -200,12 +196,18 @@ def find_in(index: TemplateIndex, text: str) -> list[tuple[int, str, int, int, i
     words = words_of(text)
     if len(words) < index.width:
         return []
-    ids = index.template_ids(words, text)
+    ids, unknown = index.template_ids(words)
     w = index.width
+    names: set[str] | None = None
     best: dict[tuple[int, str], tuple[int, int, int, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
+    copied: dict[tuple[int, int], int] = {}
     runs: dict[tuple[int, int], tuple[int, int]] = {}
     for b, item, a in index.hits(ids):
+        new = unknown[b : b + w].nonzero()[0]
+        if len(new):
+            names = _named_words(text)[1] if names is None else names
+            if any(words[b + i] not in names for i in new.tolist()):
+                continue
         own = index.words[item]
         start, last = runs.get((item, b - a), (b, b - 1))
         runs[(item, b - a)] = (start, b) if last == b - 1 else (b, b)
@@ -215,8 +217,11 @@ def find_in(index: TemplateIndex, text: str) -> list[tuple[int, str, int, int, i
             changed = _slots_agree(own, words, ids, start - (b - a), start, n)
             if changed:
                 best[item, "template"] = (n, 0, start, changed)
-        if words[b : b + w] == own[a : a + w] and (item, b - a, start) not in tried:
-            tried.add((item, b - a, start))
+        if words[b : b + w] == own[a : a + w]:
+            again = copied.get((item, b - a)) == b - 1
+            copied[item, b - a] = b
+            if again:
+                continue
             p = passage(own, words, a, b, index.least, index.per_edit, index.most_edits)
             if p and p > best.get((item, "passage"), (0,))[:2]:
                 best[item, "passage"] = (*p, b, 0)
@@ -262,7 +267,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, per_edi
     whole. No shuffle besides the final one by (document, item, kind).
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    docs = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
     n = items.count()
     parts = -(-n // block) or 1
     own = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))

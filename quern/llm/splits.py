@@ -40,23 +40,27 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
     """
     nodes = links.where(F.col("node").isNotNull()).select("node").distinct()
     live = links.where(F.col("node").isNotNull() & F.col("h1").isNotNull()).select("node", "h1", "h2").distinct()
-    live, label, k = ws.save(live, "links0"), ws.save(nodes.withColumn("component", F.col("node")), "label0"), 0
+    live, k = ws.save(live, "links0"), 0
+    roots: list[DataFrame] = []
     while True:
         ends = live.groupBy("h1", "h2").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
         joined = live.join(ends.select("h1", "h2", "low"), ["h1", "h2"])
         hooks = joined.groupBy("node").agg(F.min("low").alias("up")).where("up < node")
         hooks = ws.save(hooks, f"hooks{k}")
         if hooks.isEmpty():
-            return label
+            break
         root = _jump(ws, hooks, f"round{k}")
+        roots.append(root)
         moved = F.coalesce("root", "node").alias("node")
         nxt = joined.select("node", "h1", "h2").join(root, "node", "left").select(moved, "h1", "h2").distinct()
         kept = ws.save(nxt, f"links{k + 1}")
-        over = root.withColumnRenamed("node", "component")
-        label = ws.save(label.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component")), f"label{k + 1}")
-        for old in (f"links{k}", f"label{k}", f"hooks{k}"):
+        for old in (f"links{k}", f"hooks{k}"):
             ws.drop(old)
         live, k = kept, k + 1
+    label = nodes.withColumn("component", F.col("node"))
+    for root in roots:
+        label = label.join(root.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return ws.save(label, "components")
 
 
 def match_links(participants: DataFrame) -> DataFrame:

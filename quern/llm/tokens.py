@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import spread
+
 IDS_SCHEMA = "doc_id bigint, ids array<int>"
 OFFSETS_SCHEMA = "doc_id bigint, ids array<int>, starts array<int>"
 
@@ -282,9 +284,9 @@ def encode_corpus(documents: DataFrame, vocabulary: str, offsets: bool = False)
     one row. starts has, for each id, the code point at which its piece begins in the text: the ids from one start
     to the next decode to that slice exactly. Texts of any length are encoded whole; the time of a single piece of n
     bytes grows as n log n. The vocabulary (0.8 MB here, fixed by the file) is read by the driver and broadcast. No
-    shuffle: a scan with one Arrow step.
+    shuffle but for tables of fewer splits than cores: a scan with one Arrow step.
     """
     ranks = read_ranks(vocabulary)
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
     return rows.mapInArrow(_batches(shared, hash(vocabulary), offsets), OFFSETS_SCHEMA if offsets else IDS_SCHEMA)
