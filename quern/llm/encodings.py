@@ -41,6 +41,8 @@ SINGLE_BYTE = (
 MULTI_BYTE = {"gbk", "cp932", "cp949"}
 
 LOST = "�"
+#: Gain that is enough next to places that are damaged beyond doubt.
+LESS = 0.6
 
 
 @lru_cache(maxsize=8192)
@@ -79,7 +81,7 @@ def kind(ch: str) -> tuple[str, float]:
     if o >= 0x1F000 or 0xFF00 <= o <= 0xFFEF:
         return ".", 0.6
     if cat[0] == "L" and o < 0x250:
-        return ("S", 2.0) if ch in "ªºƒˆ" else ("L", 2.0)
+        return ("S", 2.0) if ch in "ªºƒˆµ" else ("L", 1.4)
     return "S", 2.5
 
 
@@ -127,14 +129,14 @@ def word_cost(w: str) -> float:
             elif before in ("A", "H"):
                 total += 3
         elif k == "J" and before in ("H", "A", "L"):
-            total += 0.5
+            total += 0.5 if before == "H" else 3
         elif k == "H" and before == "A" and w[i - 1].islower():
             total += 1.5
         elif k == "A" and before in ("C", "H", "J"):
             total += 3
         if k != "L":
             run = 0
-    if w == "Ã":
+    if w.strip() == "Ã":
         total += 3
     return total
 
@@ -230,15 +232,22 @@ def _utf8_reading(chunk: str, codec: str, least: float) -> str:
 
 def _utf8_steps(text: str, least: float):
     """(codec, text) for every codec that UTF-8 in the text may have been read as."""
+    chunks = []
     changed: dict[int, list[tuple[int, int, str]]] = {}
     for m in _CHUNKS.finditer(text):
         a, b = m.span()
         chunk = m.group()
         if not chunk[-1].isascii() and text[b : b + 1] == " ":
             chunk, b = chunk + " ", b + 1
+        chunks.append((a, b, chunk))
         for k, new in _utf8_readings(chunk, least):
             changed.setdefault(k, []).append((a, b, new))
     for k, places in sorted(changed.items()):
+        if UTF8_READ_AS[k] not in MULTI_BYTE:
+            # Between damaged chunks, and to the ends of their lines, less is needed to believe in damage of this kind.
+            low, high = text.rfind("\n", 0, places[0][0]), text.find("\n", places[-1][1])
+            near = [(a, b, c) for a, b, c in chunks if low < a and (high < 0 or a < high)]
+            places = [(a, b, new) for a, b, c in near for j, new in _utf8_readings(c, LESS) if j == k]
         out, at = [], 0
         for a, b, new in places:
             out += [text[at:a], new]
@@ -249,11 +258,15 @@ def _utf8_steps(text: str, least: float):
 def _bad_before(words: list[str], gain: float, least: float, turned: bool) -> bool:
     """Whether words were bad enough to believe a gain; a change of script needs more letters to judge by."""
     before = sum(map(word_cost, words))
-    if gain < max(least + 1, 0.35 * before):
+    cyrillic = any("а" <= c.lower() <= "я" for w in words for c in w)
+    if gain < max(least + 1, (0.2 if cyrillic else 0.35) * before):
         return False
-    if any("а" <= c.lower() <= "я" for w in words for c in w):
+    if cyrillic:
         return True
-    odd = sum(kind(c)[0] not in "AP." for w in words for c in w)
+    kinds = [kind(c) for w in words for c in w]
+    if not any(k in "LHJ" for k, _ in kinds) and before < 1.5 + sum(c for _, c in kinds):
+        return False  # symbols by themselves
+    odd = sum(k not in "AP." for k, _ in kinds)
     return before >= 1.3 * odd and (odd >= 4 or not turned)
 
 
@@ -329,22 +342,29 @@ def steps(text: str, least: float):
             yield f"{written} read as {read}", new
 
 
+def _settled(text: str, price: float, least: float) -> bool:
+    """Whether a text is about as plausible as its letters allow, so that no other reading can be much better."""
+    return price <= least + sum(min(kind(c)[1], 1.0) for c in text if not c.isascii())
+
+
 def restore(text: str, least: float = 2.5, step_cost: float = 0.5, most_states: int = 24) -> tuple[bool, str, str, float, float]:
     """(found, restored text, path, cost before, cost after) of one text.
 
     Best-first search: the cheapest open state is expanded next; a state counts its cost and step_cost for each
-    step. It ends when nothing cheaper is open or most_states states were expanded (the best so far holds; texts
-    with that many plausible readings do not occur outside attacks). found: the way from the text, or from it with
+    step. It ends when nothing is open, when the best text is settled, or when most_states states
+    were expanded; the best so far holds. A step must
+    make the text cheaper, as every right one does, but states dearer than the best are expanded as well: the right
+    first step of text damaged twice need not be the best one. found: the way from the text, or from it with
     its character references resolved, lowers the cost by at least `least`; or replacement characters stand at
     letters or digits, where the original is lost.
     """
     start = cost(text)
     seen, best = {hash(text)}, (start, text, "")
-    heap, states = [(start, 0, text, "", start)], 0
+    heap, states = [(start, 0, text, "")], 0
     top = start
     while heap and states < most_states:
-        price, _, now, path, own = heapq.heappop(heap)
-        if price > best[0] + 4:
+        price, _, now, path = heapq.heappop(heap)
+        if path and price > best[0] and _settled(best[1], best[0], least):
             break
         states += 1
         for name, new in steps(now, least):
@@ -358,7 +378,8 @@ def restore(text: str, least: float = 2.5, step_cost: float = 0.5, most_states:
             p = c + step_cost * (to.count(">") + 1)
             if p < best[0]:
                 best = (p, new, to)
-            heapq.heappush(heap, (p, len(seen), new, to, c))
+            if p < price or name == "unescape":
+                heapq.heappush(heap, (p, len(seen), new, to))
     after = cost(best[1])
     way = [s for s in best[2].split(" > ") if s and s != "unescape"]
     lost = re.search(rf"[^\W_]{LOST}|{LOST}[^\W_]", text) is not None

@@ -201,7 +201,7 @@ def find_in(index: TemplateIndex, text: str) -> list[tuple[int, str, int, int, i
     names: set[str] | None = None
     best: dict[tuple[int, str], tuple[int, int, int, int]] = {}
     copied: dict[tuple[int, int], int] = {}
-    runs: dict[tuple[int, int], tuple[int, int]] = {}
+    runs: dict[tuple[int, int], list[list[int]]] = {}
     for b, item, a in index.hits(ids):
         new = unknown[b : b + w].nonzero()[0]
         if len(new):
@@ -209,14 +209,11 @@ def find_in(index: TemplateIndex, text: str) -> list[tuple[int, str, int, int, i
             if any(words[b + i] not in names for i in new.tolist()):
                 continue
         own = index.words[item]
-        start, last = runs.get((item, b - a), (b, b - 1))
-        runs[(item, b - a)] = (start, b) if last == b - 1 else (b, b)
-        start, last = runs[(item, b - a)]
-        n = last - start + w
-        if n >= index.least and (item, "template") not in best:
-            changed = _slots_agree(own, words, ids, start - (b - a), start, n)
-            if changed:
-                best[item, "template"] = (n, 0, start, changed)
+        own_runs = runs.setdefault((item, b - a), [])
+        if own_runs and own_runs[-1][1] == b - 1:
+            own_runs[-1][1] = b
+        else:
+            own_runs.append([b, b])
         if words[b : b + w] == own[a : a + w]:
             again = copied.get((item, b - a)) == b - 1
             copied[item, b - a] = b
@@ -225,6 +222,13 @@ def find_in(index: TemplateIndex, text: str) -> list[tuple[int, str, int, int, i
             p = passage(own, words, a, b, index.least, index.per_edit, index.most_edits)
             if p and p > best.get((item, "passage"), (0,))[:2]:
                 best[item, "passage"] = (*p, b, 0)
+    for (item, diagonal), own_runs in runs.items():
+        for start, last in own_runs:
+            n = last - start + w
+            if n >= index.least and n > best.get((item, "template"), (0,))[0]:
+                changed = _slots_agree(index.words[item], words, ids, start - diagonal, start, n)
+                if changed:
+                    best[item, "template"] = (n, 0, start, changed)
     return [(index.owner[item], kind, *x) for (item, kind), x in best.items()]
 
 
