@@ -196,14 +196,20 @@ def match_features(matches: DataFrame, folder: str = "source_folder", file: str
     )
     team_fields = sorted({t for _, t in SHARES.values()})
 
+    def summed(s: str, field: str) -> Column:
+        return F.aggregate(F.col(f"_players_{s}"), F.lit(0.0), lambda total, x: total + _zero(x[field]))
+
     def team(s: str) -> Column:
-        return F.struct(*[F.aggregate(F.col(f"_players_{s}"), F.lit(0.0), lambda acc, x, f=f: acc + _zero(x[f])).alias(f) for f in team_fields])
+        return F.struct(*[summed(s, f).alias(f) for f in team_fields])
+
+    def player(s: str, api: str) -> Column:
+        return F.get(F.filter(F.col(f"_players_{s}"), lambda x: x["teamPosition"] == api), F.lit(0))
 
     def objectives(s: str) -> Column:
         own = F.get(F.col(f"_players_{s}"), F.lit(0))["teamId"]
         return F.get(F.filter(F.col("info.teams"), lambda t: t["teamId"] == own), F.lit(0))["objectives"]
 
-    picked = [F.get(F.filter(F.col(f"_players_{s}"), lambda x, a=api: x["teamPosition"] == a), F.lit(0)).alias(f"_{s}_{name}") for s in "wl" for api, name in POSITIONS.items()]
+    picked = [player(s, api).alias(f"_{s}_{name}") for s in "wl" for api, name in POSITIONS.items()]
     d = d.select("*", *picked, *[team(s).alias(f"_team_{s}") for s in "wl"], *[objectives(s).alias(f"_objectives_{s}") for s in "wl"])
     match_id = F.coalesce(F.nullif(F.col("metadata.matchId"), F.lit("")), id_of_file(F.col("source_file")))
     version = F.coalesce("info.gameVersion", F.lit(""))

@@ -46,16 +46,17 @@ def initial_state(spark: SparkSession, players: int, seed: int = 1) -> DataFrame
     return d.select("id", "skill", F.lit(12).alias("rank"), F.lit(0.0).alias("lp"), F.lit(0).alias("games"), F.lit(0).alias("streak"))
 
 
-def play_round(state: DataFrame, number: int, team: int = 5, queue_share: float = 0.35, seed: int = 1) -> DataFrame:
+def play_round(state: DataFrame, number: int, team: int = 5, queue_share: float = 0.35, seed: int = 1, block: int = 400) -> DataFrame:
     """The state after one round: queued players of a rank are shuffled into games of two teams.
 
-    Players are first spread over blocks within their rank, so that no task shuffles a whole crowded rank; the few
-    left over in a block do not play this round.
+    Players are first spread over blocks of about `block` within their rank, so that no task shuffles a whole crowded
+    rank; the few left over in a block do not play this round.
     """
     q = state.withColumn("_u", _uniform(F.lit(seed), F.lit(number), F.col("id"))).withColumn("_in", F.col("_u") < queue_share)
-    block = F.pmod(F.xxhash64(F.lit(seed + 7), F.lit(number), F.col("id")), F.lit(64))
+    ranks = q.where("_in").groupBy("rank").agg(F.greatest(F.lit(1), F.floor(F.count("*") / block)).alias("_blocks"))
+    own = F.pmod(F.xxhash64(F.lit(seed + 7), F.lit(number), F.col("id")), F.col("_blocks"))
     w = Window.partitionBy("rank", "_block")
-    inside = q.where("_in").withColumn("_block", block).withColumn("_rn", F.row_number().over(w.orderBy("_u", "id")) - 1).withColumn("_n", F.count("*").over(w))
+    inside = q.where("_in").join(F.broadcast(ranks), "rank").withColumn("_block", own).withColumn("_rn", F.row_number().over(w.orderBy("_u", "id")) - 1).withColumn("_n", F.count("*").over(w))
     size = 2 * team
     inside = inside.withColumn("_game", F.floor(F.col("_rn") / size)).withColumn("_plays", F.col("_game") < F.floor(F.col("_n") / size)).withColumn("_side", F.pmod("_rn", F.lit(2)))
     g = Window.partitionBy("rank", "_block", "_game")
