@@ -234,7 +234,8 @@ def match_children(nodes: DataFrame) -> DataFrame:
         return F.get(F.filter("parts", lambda p: (p["field"] == name) & p["child"].isNotNull()), F.lit(0))["child"]
 
     def table(role: str, *cols):
-        return objects(nodes, role).select(F.col("hash").alias("_h"), *cols)
+        own = nodes.where((F.col("kind") == "object") & (F.col("role") == role))
+        return own.select(F.col("hash").alias("_h"), *cols).dropDuplicates(["_h"])
 
     top = table("$", child("metadata").alias("meta"), child("info").alias("info"))
     meta = table("$.metadata", F.nullif(strip_space(scalar("matchId")), F.lit("")).alias("meta_id"))
