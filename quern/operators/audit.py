@@ -86,3 +86,20 @@ def eligible(candidates: DataFrame, key: str, taken: list[DataFrame], owners: Da
         d = d.join(t.select(key).distinct(), key, "left_anti")
     d = d.join(owners.select(key).distinct(), key, "left_semi").join(impacted.select(key).distinct(), key, "left_semi")
     return d.join(impacted.where(~most).select(key).distinct(), key, "left_anti")
+
+
+def document_health(records: DataFrame, documents: DataFrame, key: str, members: str, least_members: int = 10) -> DataFrame:
+    """key and one truth value for each check of a record against its document, and `complete` if all hold.
+
+    records: key, members (array), created; documents: key, doc_key, members, created, load_error. Checks: the file is
+    there, it loads, its id agrees, it has enough members, the member sets agree, the creation time is positive.
+    """
+    d = documents.select(F.col(key).alias("_k"), "doc_key", F.col(members).alias("_members"), F.col("created").alias("_created"), "load_error")
+    j = records.join(d, records[key] == F.col("_k"), "left")
+    own, theirs = (F.array_sort(F.array_distinct(F.col(c))) for c in (members, "_members"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    checks = {
+        "file_present": F.col("_k").isNotNull(), "loaded": yes(~F.col("load_error")), "id_agrees": yes(F.col("doc_key") == F.col("_k")),
+        "enough_members": yes(F.size(theirs) >= least_members), "members_agree": yes(own == theirs), "has_creation": yes(F.col("_created") > 0),
+    }
+    return j.select(key, *[c.alias(n) for n, c in checks.items()], reduce(Column.__and__, checks.values()).alias("complete"))

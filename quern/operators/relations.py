@@ -125,3 +125,33 @@ def correlated_count(outer: DataFrame, inner: DataFrame, key: str, counted: Colu
     """outer with the number of distinct values in inner for its key, 0 if none."""
     n = inner.groupBy(key).agg(F.count_distinct(counted).alias(out))
     return outer.join(n, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def replace_children(children: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """children with the whole set of a parent's children replaced for every parent that occurs in updates."""
+    return children.join(updates.select(key).distinct(), key, "left_anti").unionByName(updates)
+
+
+def alignment(left: DataFrame, right: DataFrame, key: str, column: str, tolerance: float = 1e-9) -> DataFrame:
+    """One row: rows on either side without a partner, and partners whose column differs by more than tolerance."""
+    a, b = left.select(key, F.col(column).alias("_a")), right.select(key, F.col(column).alias("_b"))
+    j = a.withColumn("_l", F.lit(1)).join(b.withColumn("_r", F.lit(1)), key, "full")
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    return j.agg(
+        F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"),
+        F.count_if(both & ~(F.coalesce(F.abs(F.col("_a") - F.col("_b")) <= tolerance, F.lit(False)) | (F.col("_a").isNull() & F.col("_b").isNull()))).alias("differing"),
+    )
+
+
+def candidate_scores(owners: DataFrame, impact: DataFrame, candidate: str, owner: str, score: str, place: str, recency: str) -> DataFrame:
+    """candidate, score, first_seen, rank: impact summed over a candidate's owners.
+
+    Ties go by where a walk over the owners in order of `place`, each with its candidates most recent first, sees the
+    candidate first. impact has owner, score and place; owners has candidate, owner and recency.
+    """
+    own = owners.select(candidate, owner, recency).distinct()
+    j = own.join(impact.select(owner, score, place), owner)
+    seen = F.min(F.struct(F.col(place), (-F.col(recency)).alias("r"), F.col(candidate).alias("c")))
+    g = j.groupBy(candidate).agg(F.sum(score).alias("score"), seen.alias("first_seen"))
+    w = Window.orderBy(F.desc("score"), "first_seen")
+    return g.select(candidate, "score", F.col(f"first_seen.{place}").alias("first_seen"), F.row_number().over(w).alias("rank"))

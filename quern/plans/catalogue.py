@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import general, relation_queries, scalar_queries, window_queries
+from quern.plans import domain_queries, general, relation_queries, scalar_queries, window_queries
 
-_MODULES = (general, scalar_queries, relation_queries, window_queries)
+_MODULES = (general, scalar_queries, relation_queries, window_queries, domain_queries)
 
 
 def queries() -> dict:

@@ -72,3 +72,17 @@ def test_sets(spark):
     a, b = spark.range(5), spark.range(3, 8)
     assert not relations.equal_sets(a, b) and relations.equal_sets(a, spark.range(5))
     assert [r["status"] for r in relations.compare_sets(a, b, "id").orderBy("id").collect()] == ["missing"] * 3 + ["shared"] * 2 + ["extra"] * 3
+
+
+def test_health_alignment_and_children(spark):
+    from quern.operators.audit import document_health
+
+    r = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", ["x"]), ("d", None)], "k string, members array<string>")
+    d = spark.createDataFrame([("a", "a", ["y", "x", "x"], 5, False), ("b", "z", ["x"], 0, False), ("d", "d", None, None, True)], "k string, doc_key string, members array<string>, created bigint, load_error boolean")
+    got = {x["k"]: (x["complete"], x["file_present"], x["id_agrees"]) for x in document_health(r, d, "k", "members", 2).collect()}
+    assert got == {"a": (True, True, True), "b": (False, True, False), "c": (False, False, False), "d": (False, True, True)}
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (5, 1.0)], "i int, v double")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.5), (3, None), (4, 1.0)], "i int, v double")
+    assert rows(relations.alignment(a, b, "i", "v")) == [(1, 1, 1)]
+    kids = spark.createDataFrame([("p", 1), ("p", 2), ("q", 3)], "k string, c int")
+    assert rows(relations.replace_children(kids, spark.createDataFrame([("p", 9)], "k string, c int"), "k")) == [("p", 9), ("q", 3)]
