@@ -164,10 +164,11 @@ def p_clock_window(t):
 
 
 @R_.add("""
-with s as (select l_orderkey k, sum(l_extendedprice * (l_discount - 0.03)) rev, sum(l_extendedprice) price from lineitem group by 1)
-select k orderkey, round(case when rev <= 0 then 0.0 else price / rev end, 6) ratio from s""")
+with s as (select l_orderkey k, sum(round(l_extendedprice * 100)::bigint * (round(l_discount * 100)::bigint - 3)) rev, sum(round(l_extendedprice * 100)::bigint) price from lineitem group by 1)
+select k orderkey, round(case when rev <= 0 then 0.0 else price::double / rev::double end, 6) ratio from s""")
 def p_safe_div_share(t):
-    s = t.lineitem.groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.03)).alias("rev"), F.sum("l_extendedprice").alias("price"))
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    s = t.lineitem.groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.sum(cents("l_extendedprice") * (cents("l_discount") - 3)).alias("rev"), F.sum(cents("l_extendedprice")).alias("price"))
     return s.select("orderkey", F.round(numeric.safe_div(F.col("price"), F.col("rev")), 6).alias("ratio"))
 
 

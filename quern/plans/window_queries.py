@@ -338,9 +338,9 @@ def t_session_gaps(t):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("largest"))
 
 
-@R_.add("select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round(avg(value), 6) mean from events group by 1, 2")
+@R_.add("select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round(avg(floor(value)::bigint), 6) mean from events group by 1, 2")
 def t_tumbling(t):
-    w = jobs.tumbling(t.events, "ts", "1 hour", ["event_type"], "value")
+    w = jobs.tumbling(t.events.withColumn("value", F.floor("value")), "ts", "1 hour", ["event_type"], "value")
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
