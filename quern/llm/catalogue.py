@@ -11,7 +11,7 @@ from quern.functions.ids import clean_match_id
 from quern.functions.oracle_text import bundle_sql, match_id_sql, player_sql
 from quern.llm.encodings import restore_texts
 from quern.llm.leaks import leaks
-from quern.llm.splits import assign_splits, match_links, update_components, workspace
+from quern.llm.splits import ComponentStore, match_links, update_components, workspace
 from quern.llm.survivors import survive_fields, surviving_bundle
 from quern.llm.tokens import encode_corpus
 from quern.sources.tables import table
@@ -40,10 +40,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     """match_id, group_key, split of all matches, 80/10/10."""
-    s = assign_splits(_components(spark, d))
+    s = ComponentStore(spark, workspace(spark).root).update(match_links(table(spark, d, "match_participants")))
     return s.select(F.col("node").alias("match_id"), F.col("component").alias("group_key"), "split")
 
 
+def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The components of p5_found, from two batches of bundles added to a component store one after the other."""
+    store, p = ComponentStore(spark, workspace(spark).root), table(spark, d, "match_participants")
+    first = F.pmod(F.xxhash64("bundle"), F.lit(2)) == 0
+    store.update(match_links(p.where(first)))
+    s = store.update(match_links(p.where(~first)))
+    return s.select(F.col("node").alias("match_id"), F.col("component").alias("group_key"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), VOCABULARY)
 
@@ -74,7 +83,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return restore_texts(table(spark, d, "documents")).where("found").select("doc_id", "restored", "path")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p5_found, p5_splits, p6_ids, p6_offsets, p7_found, p7_items, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p5_found, p5_splits, p5_incremental, p6_ids, p6_offsets, p7_found, p7_items, p8_found, p8_restored)}
 
 _M = match_id_sql("match_id")
 _FIELD = "arg_max({0}, ({0} is not null, valid_for_pipeline is not distinct from 1, fetched_at_utc is not null, coalesce(fetched_at_utc, 0), {0})) filter ({0} is not null) {0}"
@@ -101,3 +110,4 @@ cc(m, c) using key (m) as (
   select e.b, min(cc.c) from cc join e on cc.m = e.a join recurring.cc as r on r.m = e.b where cc.c < r.c group by e.b)
 select m match_id, c group_key from cc""",
 }
+ORACLES["p5_incremental"] = ORACLES["p5_found"]

@@ -70,16 +70,21 @@ def match_links(participants: DataFrame) -> DataFrame:
     return rows.select("node", *[F.when(F.col("p").isNotNull(), h).alias(f"h{i}") for i, h in enumerate(key128(F.col("p")), 1)])
 
 
-def update_components(known: DataFrame | None, links: DataFrame, ws: Workspace) -> DataFrame:
+def update_components(known: DataFrame | None, links: DataFrame, ws: Workspace, keys: DataFrame | None = None) -> DataFrame:
     """node, component, old: the component table after more links; old is the component a node had before, if any.
 
-    known has node and component (and is not changed). Old components come in as links of their own, so only new
-    links can merge them. component may change to a smaller node when components merge.
+    known has node and component, keys has h1, h2 and component of the links seen before; neither is changed. Old
+    components come in as links of their own, so only new links can merge them: of the keys, those that the new links
+    use again. component may change to a smaller node when components merge.
     """
     if known is None:
         return components(links, ws).withColumn("old", F.lit(None).cast("string"))
+    new = links.select("node", "h1", "h2")
     ties = known.select("node", *key128(F.concat(F.lit("component:"), F.col("component"))))
-    now = components(links.select("node", "h1", "h2").unionByName(ties), ws)
+    if keys is not None:
+        again = keys.join(new.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+        ties = ties.unionByName(again.select(F.col("component").alias("node"), "h1", "h2"))
+    now = components(new.unionByName(ties), ws)
     return now.join(known.select("node", F.col("component").alias("old")), "node", "left")
 
 
@@ -123,5 +128,47 @@ def assign_splits(table: DataFrame, old_splits: DataFrame | None = None, splits=
     return table.select("node", "component").join(named, "component").select("node", "component", "split")
 
 
+class ComponentStore:
+    """Component tables kept in versions under a folder; updates only ever add a version.
+
+    nodes: node, component, split. keys: h1, h2, component of every link seen, one row each, through which later
+    links of the same player find the component.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, splits=SPLITS):
+        self.spark, self.folder, self.splits = spark, folder.rstrip("/"), splits
+        self.version = 0
+        while self._finished(self.version + 1):
+            self.version += 1
+
+    def _finished(self, version: int) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{version}/nodes/_SUCCESS")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def table(self, name: str = "nodes") -> DataFrame | None:
+        """A table of the latest version; None before the first update."""
+        return self.spark.read.parquet(f"{self.folder}/v{self.version}/{name}") if self.version else None
+
+    def update(self, links: DataFrame) -> DataFrame:
+        """The node table after more links (node, h1, h2).
+
+        Components keep their splits, new ones fill what is missing, merged ones of different splits go to
+        'quarantine'. An update that failed leaves no finished version and can be run again.
+        """
+        ws, known, keys = workspace(self.spark), self.table(), self.table("keys")
+        old = None if known is None else known.select("component", "split").distinct()
+        now = update_components(None if known is None else known.select("node", "component"), links, ws, keys)
+        to = f"{self.folder}/v{self.version + 1}"
+        owned = links.where(F.col("node").isNotNull() & F.col("h1").isNotNull()).select("node", "h1", "h2")
+        if keys is not None:
+            owned = owned.unionByName(keys.select(F.col("component").alias("node"), "h1", "h2"))
+        placed = owned.join(now.select("node", "component"), "node").groupBy("h1", "h2").agg(F.min("component").alias("component"))
+        placed.write.mode("overwrite").parquet(f"{to}/keys")
+        assign_splits(now, old, self.splits).write.mode("overwrite").parquet(f"{to}/nodes")
+        self.version += 1
+        ws.drop("components")
+        return self.table()
+
+
 def workspace(spark: SparkSession) -> Workspace:
     return Workspace(spark, "components")

@@ -3,7 +3,7 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quern.llm.splits import assign_splits, components, match_links, update_components, workspace
+from quern.llm.splits import ComponentStore, assign_splits, components, match_links, update_components, workspace
 from tests.conftest import rows
 
 LINKS = "node string, h1 bigint, h2 bigint"
@@ -80,3 +80,19 @@ def test_proportions(spark):
     assert s.groupBy("component").agg({"split": "count"}).count() == s.select("component", "split").distinct().count()
     assert rows(s) == rows(assign_splits(t))
     s.unpersist()
+
+
+def test_store_in_batches(spark, tmp_path):
+    links = [(f"m{i:02}", i // 2, 0) for i in range(30)] + [(f"m{i:02}", (i + 1) // 2 + 100, 0) for i in range(0, 30, 3)]
+    random.Random(8).shuffle(links)
+    store = ComponentStore(spark, str(tmp_path / "s"))
+    assert store.table() is None
+    splits: dict = {}
+    for k in range(0, len(links), 14):
+        now = {r["node"]: (r["component"], r["split"]) for r in store.update(spark.createDataFrame(links[k : k + 14], LINKS)).collect()}
+        for node, split in splits.items():
+            assert now[node][1] in (split, "quarantine")
+        splits = {n: s for n, (_, s) in now.items()}
+        assert all(len({s for c, s in now.values() if c == one}) == 1 for one, _ in now.values())
+    assert sorted((n, c) for n, (c, _) in now.items()) == brute(links)
+    assert ComponentStore(spark, str(tmp_path / "s")).version == store.version
