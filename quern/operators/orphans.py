@@ -48,6 +48,12 @@ def orphan_counts(children: list[tuple[str, DataFrame, Column, Column]], parents
     )
 
 
+def _reads(*names: str) -> Column:
+    """True for every row, but reads the columns: two uses of a grouping then need the same aggregates, and Spark
+    runs its shuffle once for both."""
+    return F.size(F.array(*[F.col(n).isNull() for n in names])) == len(names)
+
+
 def match_reference_orphans(participants: DataFrame, ranks: DataFrame, matches: DataFrame, targets: DataFrame, late_after_s: int = WEEK_S) -> DataFrame:
     """ref_field, match_id, puuid, orphan_state, orphan_month: one row per reference that lacks its record.
 
@@ -101,7 +107,9 @@ def match_reference_orphans(participants: DataFrame, ranks: DataFrame, matches:
     )
 
     pairs = valid.select("match_id", *key128(F.col("puuid"))).distinct()
-    placed = pairs.join(match.select("match_id", "m_fetched", "month", "mapped"), "match_id")
+    match = match.where(_reads("known", "m_fetched", "month", "mapped", "in_pairs", "in_labels"))
+    player = player.where(_reads("h1", "h2", "puuid", "ranked", "only_ranked", "p_fetched", "untimed"))
+    placed = pairs.join(match.where("in_pairs = 1").select("match_id", "m_fetched", "month", "mapped"), "match_id")
     joined = placed.join(player.select("h1", "h2", "puuid", "ranked", "p_fetched", "untimed"), ["h1", "h2"])
     late = F.col("ranked") & ~F.col("untimed") & (F.col("p_fetched") - F.col("m_fetched") > late_after_s)
     state = F.when(~F.col("ranked"), "missing").when(late, "late")
