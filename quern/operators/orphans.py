@@ -82,10 +82,10 @@ def match_reference_orphans(participants: DataFrame, ranks: DataFrame, matches:
     match = match_keys.groupBy(F.col("key").alias("match_id")).agg(
         F.max("is_parent").alias("known"),
         F.min("fetched").alias("m_fetched"),
-        F.min("created").alias("created"),
         F.max("mapped").alias("mapped"),
         F.max("in_pairs").alias("in_pairs"),
         F.max("in_labels").alias("in_labels"),
+        F.min("created").alias("created"),
     )
     month = F.coalesce(F.date_format(F.timestamp_millis("created"), "yyyy-MM"), F.lit(UNKNOWN))
     match = match.withColumn("month", month).drop("created")
@@ -103,7 +103,7 @@ def match_reference_orphans(participants: DataFrame, ranks: DataFrame, matches:
         F.max("is_parent").alias("ranked"),
         F.min("is_parent").alias("only_ranked"),
         F.min("fetched").alias("p_fetched"),
-        F.coalesce(F.max("untimed"), F.lit(False)).alias("untimed"),
+        F.max("untimed").alias("untimed"),
     )
 
     pairs = valid.select("match_id", *key128(F.col("puuid"))).distinct()
@@ -111,7 +111,7 @@ def match_reference_orphans(participants: DataFrame, ranks: DataFrame, matches:
     player = player.where(_reads("h1", "h2", "puuid", "ranked", "only_ranked", "p_fetched", "untimed"))
     placed = pairs.join(match.where("in_pairs = 1").select("match_id", "m_fetched", "month", "mapped"), "match_id")
     joined = placed.join(player.select("h1", "h2", "puuid", "ranked", "p_fetched", "untimed"), ["h1", "h2"])
-    late = F.col("ranked") & ~F.col("untimed") & (F.col("p_fetched") - F.col("m_fetched") > late_after_s)
+    late = F.col("ranked") & ~F.coalesce("untimed", F.lit(False)) & (F.col("p_fetched") - F.col("m_fetched") > late_after_s)
     state = F.when(~F.col("ranked"), "missing").when(late, "late")
 
     none, zero = F.lit(None).cast("bigint"), F.lit(0)
