@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.subquery import with_row
+
 
 def quantile_edges(df: DataFrame, column: str, n: int) -> DataFrame:
     """One row, `edges`: the n - 1 inner quantiles (exact, linear interpolation)."""
@@ -27,10 +29,10 @@ def bin_before(v: Column, edges: Column, bins: int) -> Column:
 
 
 def with_bins(df: DataFrame, column: str, n: int, out: str = "bin", edges_from: DataFrame | None = None, closed: str = "left") -> DataFrame:
-    """df with the quantile bin of a column; edges come from edges_from where given. One row of edges is broadcast."""
-    edges = F.broadcast(quantile_edges(edges_from if edges_from is not None else df, column, n))
+    """df with the quantile bin of a column; edges come from edges_from where given and are a scalar subquery."""
+    edges = quantile_edges(edges_from if edges_from is not None else df, column, n)
     rule = left_closed_bin if closed == "left" else right_closed_bin
-    return df.crossJoin(edges).withColumn(out, rule(F.col(column), F.col("edges"))).drop("edges")
+    return with_row(df, edges).withColumn(out, rule(F.col(column), F.col("edges"))).drop("edges")
 
 
 def mixed_radix(codes: list[tuple[Column, int]]) -> Column:
@@ -56,7 +58,7 @@ def one_hot(column: str, values: list) -> list[Column]:
 def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Columns as (x - mean) / population deviation of fit_on; a constant column becomes 0."""
     stats = (fit_on if fit_on is not None else df).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    wide = df.crossJoin(F.broadcast(stats))
+    wide = with_row(df, stats)
     for c in columns:
         wide = wide.withColumn(c, F.when(F.col(f"s_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0))
     return wide.select(*df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import seeded_order, u64_mod
+from quern.functions.subquery import with_row
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, out: str = "rn") -> DataFrame:
@@ -113,8 +114,8 @@ def quota_with_spill(df: DataFrame, tier: str, quotas: dict[str, int], need: int
     n = numbered(df, [tier], order, "_rn").withColumn("_in", F.col("_rn") <= q)
     inside, rest = n.where("_in"), n.where("not _in")
     have = inside.agg(F.count("*").alias("_have"))
-    spill = rest.withColumn("_place", F.row_number().over(Window.orderBy(*order))).where(F.col("_place") <= need).crossJoin(F.broadcast(have))
-    spill = spill.where(F.col("_place") <= need - F.col("_have"))
+    best = rest.orderBy(*order).limit(need)
+    spill = with_row(best.withColumn("_place", F.row_number().over(Window.orderBy(*order))), have).where(F.col("_place") <= need - F.col("_have"))
     cols = df.columns
     return inside.select(*cols, F.lit("quota").alias("picked_as")).unionByName(spill.select(*cols, F.lit("spill").alias("picked_as")))
 
@@ -135,16 +136,11 @@ def stratified_folds(df: DataFrame, strata: list[str], key: Column, folds: int,
 
 
 def sequential_split(df: DataFrame, order: str, share: float = 0.75) -> DataFrame:
-    """df with is_train for the first floor(share * n) rows in order of a unique column.
+    """df with is_train for the first floor(share * n) rows in order of a unique column."""
+    from quern.operators.relations import with_row_id
 
-    The border is found by rank within range partitions: no task sees all rows.
-    """
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("_before", before).withColumn("_all", F.sum("_size").over(Window.partitionBy()))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")
-    return ranged.join(F.broadcast(offsets), "_part").withColumn("is_train", place <= F.floor(F.col("_all") * share)).select(*df.columns, "is_train")
+    d = with_row(with_row_id(df, [F.col(order)], "_id"), df.agg(F.count("*").alias("_all")))
+    return d.select(*df.columns, (F.col("_id") < F.floor(F.col("_all") * share)).alias("is_train"))
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import ranks as R
 from quern.functions.clock import clock_hour, in_clock_window
+from quern.operators.relations import with_row_id
 
 
 def probits(rows: DataFrame, rank: str, lp: str, server: Column, bins: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
@@ -68,7 +69,8 @@ def priorities(edges: DataFrame, player: str, match: str, players: DataFrame, pe
         F.max("covered_members").alias("best_partial"), F.count_if(F.col("covered_members") >= near).alias("near"), F.count("*").alias("incomplete"), (F.lit(target) - F.first("covered")).alias("deficit")
     )
     order = [F.desc("best_partial"), F.desc("near"), F.desc("incomplete"), F.asc("deficit"), F.asc(player)]
-    return g.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    ranked = with_row_id(g, order, "place", 1)
+    return ranked.withColumn("place", F.col("place").cast("int"))
 
 
 def popularity(edges: DataFrame, group: str, member: str) -> DataFrame:

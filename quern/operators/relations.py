@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.subquery import with_row
+from quern.session import Workspace
+
 
 def inner_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys)
@@ -66,19 +69,25 @@ def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, prefix: str,
     return out.select(*keys, F.coalesce(*[F.col(f"_v{n}") for n in lengths]).alias(value))
 
 
-def with_row_id(df: DataFrame, order: list, out: str = "row_id") -> DataFrame:
-    """df with numbers 0.. in an order: numbered within range partitions, shifted by the sizes of those before."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rn = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_rn", rn).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_rn") + F.col("_before")).select(*df.columns, out)
+def with_row_id(df: DataFrame, order: list, out: str = "row_id", start: int = 0) -> DataFrame:
+    """df with numbers start.. in an order: numbered within range partitions, shifted by the sizes of those before.
+
+    The partitioned rows are written to the shared folder first: range bounds come from samples, so that computing
+    them twice could part the rows differently. No task sees all rows.
+    """
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    kept = Workspace(df.sparkSession, "ranges").save(parts, "rows")
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start
+    return kept.withColumn("_rn", place).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_rn") + F.col("_before")).alias(out))
 
 
 def shifted_pairs(df: DataFrame, row_id: str, columns: list[str], shifts: list[int]) -> DataFrame:
     """Each row beside the row k further on (around the end), for each k: columns a_*, b_*, shift."""
     n = df.agg(F.count("*").alias("_n"))
-    a = df.select(F.col(row_id).alias("_i"), *[F.col(c).alias(f"a_{c}") for c in columns]).crossJoin(F.broadcast(n))
+    a = with_row(df.select(F.col(row_id).alias("_i"), *[F.col(c).alias(f"a_{c}") for c in columns]), n)
     a = a.withColumn("shift", F.explode(F.array(*[F.lit(k) for k in shifts]))).withColumn("_j", F.pmod(F.col("_i") + F.col("shift"), F.col("_n")))
     b = df.select(F.col(row_id).alias("_j"), *[F.col(c).alias(f"b_{c}") for c in columns])
     return a.join(b, "_j").where(F.col("_i") != F.col("_j")).drop("_i", "_j", "_n")
@@ -107,7 +116,7 @@ def delete_cascade(parent: DataFrame, child: DataFrame, key: str, doomed: DataFr
     gone = doomed.select(key).distinct()
     pc = parent.join(gone, key, "left_semi").agg(F.count("*").alias("parent_deleted"))
     cc = child.join(gone, key, "left_semi").agg(F.count("*").alias("child_deleted"))
-    return parent.join(gone, key, "left_anti"), child.join(gone, key, "left_anti"), pc.crossJoin(cc)
+    return parent.join(gone, key, "left_anti"), child.join(gone, key, "left_anti"), with_row(pc, cc)
 
 
 def edges_of(sources: list[DataFrame]) -> DataFrame:
@@ -153,5 +162,5 @@ def candidate_scores(owners: DataFrame, impact: DataFrame, candidate: str, owner
     j = own.join(impact.select(owner, score, place), owner)
     seen = F.min(F.struct(F.col(place), (-F.col(recency)).alias("r"), F.col(candidate).alias("c")))
     g = j.groupBy(candidate).agg(F.sum(score).alias("score"), seen.alias("first_seen"))
-    w = Window.orderBy(F.desc("score"), "first_seen")
-    return g.select(candidate, "score", F.col(f"first_seen.{place}").alias("first_seen"), F.row_number().over(w).alias("rank"))
+    ranked = with_row_id(g, [F.desc("score"), F.asc("first_seen")], "rank", 1)
+    return ranked.select(candidate, "score", F.col(f"first_seen.{place}").alias("first_seen"), F.col("rank").cast("int").alias("rank"))

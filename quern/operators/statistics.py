@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.subquery import with_row
+
 
 def status_pivot(df: DataFrame, key: str, status: str, values: list[str]) -> DataFrame:
     """key and one count column for each listed status, 0 where there is none."""
@@ -295,5 +297,5 @@ def group_mean_ladder(df: DataFrame, specs: dict[str, list[str]], y: str) -> Dat
 
 def _with_group_mean(df: DataFrame, keys: list[str], y: str) -> DataFrame:
     if not keys:
-        return df.crossJoin(F.broadcast(df.agg(F.avg(y).alias("_p"))))
+        return with_row(df, df.agg(F.avg(y).alias("_p")))
     return df.join(df.groupBy(*keys).agg(F.avg(y).alias("_p")), keys)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import bins
+from quern.functions.subquery import with_row
 from quern.operators import audit, features, labels, relations, statistics
 from quern.plans.registry import Registry
 
@@ -177,7 +178,7 @@ with e as (select quantile_cont(c_acctbal, [0.1, 0.3, 0.6, 0.85]) edges from cus
 select least(len(list_filter(edges, lambda x: x < c_acctbal)), 4)::int bin, count(*) n from customer, e group by 1""")
 def j_bin_range(t):
     e = t.customer.agg(F.percentile("c_acctbal", F.array(*[F.lit(x) for x in (0.1, 0.3, 0.6, 0.85)])).alias("edges"))
-    return t.customer.crossJoin(F.broadcast(e)).groupBy(bins.bin_before(F.col("c_acctbal"), F.col("edges"), 5).alias("bin")).agg(F.count("*").alias("n"))
+    return with_row(t.customer, e).groupBy(bins.bin_before(F.col("c_acctbal"), F.col("edges"), 5).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @R_.add("""

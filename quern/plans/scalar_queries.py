@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import arrays, bins, clock, hashing, numeric, text
 from quern.functions import ranks as R
+from quern.functions.subquery import with_row
 from quern.operators import choosing, relations
 from quern.plans.registry import Registry
 from quern.sources import files, sinks
@@ -257,7 +258,7 @@ def p_range_expand(t):
     top = t.part.orderBy("p_size", "p_partkey").limit(10).agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
     a, b = numeric.padded_range(F.col("lo"), F.col("hi"), 100, 2500)
     box = top.select(a.alias("a"), b.alias("b"))
-    return t.part.crossJoin(F.broadcast(box)).where(F.col("p_retailprice").between(F.col("a"), F.col("b"))).select("p_partkey", F.round("a", 6).alias("low"), F.round("b", 6).alias("high"))
+    return with_row(t.part, box).where(F.col("p_retailprice").between(F.col("a"), F.col("b"))).select("p_partkey", F.round("a", 6).alias("low"), F.round("b", 6).alias("high"))
 
 
 @R_.add("""select p_partkey, round_even(p_size / 2.0, 0) half_even, abs(p_retailprice - round(p_retailprice, 1)) <= 0.02 near, (case when p_size < 28 then p_size // 4 else p_size - 21 end)::int tier from part""")
@@ -280,7 +281,7 @@ select user_id, score, ((row_number() over (order by score desc, user_id) - 1) /
 def p_impact_score(t):
     g = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("a"), F.count_if(F.col("event_type") == "view").alias("b"), F.count("*").alias("n"))
     s = g.select("user_id", numeric.impact_score(nines=F.col("a"), eights=F.col("b"), incomplete=F.col("n"), deficit=100 - F.col("n")).alias("score"))
-    return s.withColumn("chunk", arrays.chunk_number(F.row_number().over(Window.orderBy(F.desc("score"), "user_id")), 7))
+    return relations.with_row_id(s, [F.desc("score"), F.asc("user_id")], "n", 1).select("user_id", "score", arrays.chunk_number(F.col("n"), 7).alias("chunk"))
 
 
 @R_.add("""
@@ -303,7 +304,7 @@ with e as (select quantile_cont(l_extendedprice, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.
 x as (select least(len(list_filter(edges, lambda v: v < l_extendedprice)), 9) a, least(len(list_filter(edges, lambda v: v < l_quantity * 1000)), 9) b from lineitem, e)
 select round(avg(abs(a - b)), 6) mean_gap, round(avg((a = b)::int), 6) exact, round(avg((abs(a - b) <= 1)::int), 6) within_1 from x""")
 def p_searchsorted_left(t):
-    x = t.lineitem.crossJoin(F.broadcast(bins.quantile_edges(t.lineitem, "l_extendedprice", 10)))
+    x = with_row(t.lineitem, bins.quantile_edges(t.lineitem, "l_extendedprice", 10))
     g = F.abs(bins.bin_before(F.col("l_extendedprice"), F.col("edges"), 10) - bins.bin_before(F.col("l_quantity") * 1000, F.col("edges"), 10))
     x = x.select(g.alias("g"))
     return x.agg(F.round(F.avg("g"), 6).alias("mean_gap"), F.round(F.avg((F.col("g") == 0).cast("int")), 6).alias("exact"), F.round(F.avg((F.col("g") <= 1).cast("int")), 6).alias("within_1"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import hashing
 from quern.functions import ranks as R
 from quern.functions.oracle_text import normal_quantile_sql
+from quern.functions.subquery import with_row
 from quern.operators import audit, choosing, jobs, labels, sessions, simulate, statistics, trees
 from quern.plans.registry import Registry
 from quern.session import Workspace
@@ -352,7 +353,7 @@ def t_fixpoint_step(t):
     players, _, _ = labels.coverage(t.lineitem, "l_suppkey", "l_orderkey", F.col("l_returnflag") == "R", 200)
     open_ = players.where("not is_covered").select("l_suppkey")
     cand = t.lineitem.select("l_suppkey", "l_orderkey").distinct().join(open_, "l_suppkey").groupBy("l_orderkey").agg(F.count("*").alias("owners"))
-    return open_.agg(F.count("*").alias("unresolved")).crossJoin(cand.agg(F.count("*").alias("candidates"), F.max("owners").alias("most_owners")))
+    return with_row(open_.agg(F.count("*").alias("unresolved")), cand.agg(F.count("*").alias("candidates"), F.max("owners").alias("most_owners")))
 
 
 def _drained(t, df, purpose, mode="append"):

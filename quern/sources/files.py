@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quern.functions.subquery import with_row
 from quern.operators.choosing import best_struct
 from quern.operators.features import MATCH_SCHEMA
 
@@ -31,11 +32,10 @@ def match_files(spark: SparkSession, root: str, schema: str = MATCH_SCHEMA) -> D
     return d.join(first, ["source_folder", "_stem", "_plain"], "left_semi").drop("_bad", "_stem", "_plain")
 
 
-def sources_with(spark: SparkSession, found: DataFrame, required: list[str]) -> DataFrame:
+def sources_with(found: DataFrame, required: list[str]) -> DataFrame:
     """source, complete, missing: which sources own all required files; found has source and file."""
     have = found.select("source", "file").distinct()
-    want = spark.createDataFrame([(f,) for f in required], "file string")
-    need = have.select("source").distinct().crossJoin(F.broadcast(want))
+    need = have.select("source").distinct().withColumn("file", F.explode(F.array(*[F.lit(f) for f in required])))
     gone = need.join(have, ["source", "file"], "left_anti").groupBy("source").agg(F.array_sort(F.collect_set("file")).alias("missing"))
     d = have.select("source").distinct().join(gone, "source", "left")
     return d.select("source", F.col("missing").isNull().alias("complete"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
@@ -76,10 +76,10 @@ def markdown_table(lines: DataFrame, header: list[str], line: str = "value", ord
     """
     want = "| " + " | ".join(header) + " |"
     at = lines.where(F.trim(F.col(line)) == want).agg(F.min(order).alias("_start"))
-    body = lines.crossJoin(F.broadcast(at)).where(F.col(order) > F.col("_start"))
+    body = with_row(lines, at).where(F.col(order) > F.col("_start"))
     stop = body.where(~F.col(line).startswith("|")).agg(F.min(order).alias("_stop"))
     cells = F.transform(F.split(F.trim(F.col(line)), r"\|"), lambda x: F.trim(x))
-    rows = body.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
+    rows = with_row(body, stop).where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
     rows = rows.withColumn("_c", F.slice(cells, 2, len(header))).where(F.size(cells) == len(header) + 2).where(~F.col(line).rlike(r"^\|[\s:|-]+\|\s*$"))
     return rows.select(*[F.get("_c", F.lit(i)).alias(h) for i, h in enumerate(header)])
 

@@ -78,7 +78,7 @@ def test_small_sources(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
     assert rows(json_lines(spark, str(tmp_path / "l.jsonl"), "a int")) == [(1,), (2,)]
     have = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a")], "source string, file string")
-    assert rows(sources_with(spark, have, ["a", "b"])) == [("s", True, []), ("t", False, ["b"])]
+    assert rows(sources_with(have, ["a", "b"])) == [("s", True, []), ("t", False, ["b"])]
 
 
 def test_sinks(spark, tmp_path):
