@@ -36,13 +36,16 @@ def _text(s: str) -> str:
 
 def _scalar(v) -> str:
     """A type letter and the value: s text, n number, b truth value, z null."""
+    kind = type(v)
+    if kind is int:
+        return f"n{v}"
+    if kind is str:
+        return "s" + (v if v.isascii() else _text(v))
+    if kind is bool:
+        return "btrue" if v else "bfalse"
     if v is None:
         return "z"
-    if isinstance(v, bool):
-        return "btrue" if v else "bfalse"
-    if isinstance(v, str):
-        return "s" + _text(v)
-    return f"n{int(v)}" if isinstance(v, float) and v.is_integer() and abs(v) < 1e15 else f"n{v!r}"
+    return f"n{int(v)}" if v.is_integer() and abs(v) < 1e15 else f"n{v!r}"
 
 
 def _as_list(v):
@@ -92,13 +95,13 @@ class _Shredder:
         parts: list = []
         for name in sorted(obj):
             v = obj[name]
-            key = _text(name)
+            key = name if name.isascii() else _text(name)
+            if not isinstance(v, (dict, list)):
+                fields.append((key, _scalar(v)))
+                continue
             items = _as_list(v)
             if items is None:
-                if isinstance(v, dict):
-                    parts.append((key, None, self.put(v, f"{role}.{key}"), None))
-                else:
-                    fields.append((key, _scalar(v)))
+                parts.append((key, None, self.put(v, f"{role}.{key}"), None))
             elif not items:
                 fields.append((key, "[]"))
             else:
@@ -271,5 +274,9 @@ def match_children(nodes: DataFrame) -> DataFrame:
 
 
 def shred_and_keep(records: DataFrame, id_column: str, payload_column: str, context_column: str, root_key: str = "info") -> DataFrame:
-    """`shred`, written once to the shared folder: several tables are read from it."""
-    return Workspace(records.sparkSession, "nodes").save(shred(records, id_column, payload_column, context_column, root_key), "nodes")
+    """`shred`, written once to the shared folder: several tables are read from it.
+
+    Rows are sorted by role within each file, so that a table's scan skips the pages of other roles.
+    """
+    nodes = shred(records, id_column, payload_column, context_column, root_key).sortWithinPartitions("kind", "role")
+    return Workspace(records.sparkSession, "nodes").save(nodes, "nodes")
