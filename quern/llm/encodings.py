@@ -23,6 +23,8 @@ RESULT_SCHEMA = "doc_id bigint, found boolean, restored string, path string, cos
 LETTERS = set("éèêëàâçùûüôœîïäößáíóúñãõìąćęłńśźż") | set("ÉÈÊËÀÂÇÙÛÜÔŒÎÏÄÖÁÍÓÚÑÃÕĄĆĘŁŃŚŹŻ")
 PUNCTUATION = set("’‘“”„«»–—…‑•")
 PLAIN_SIGNS = set("£€°½№¡¿§")
+# The 2,350 syllables of KS X 1001; the other 8,822 are next to unused.
+SYLLABLES = frozenset(bytes((a, b)).decode("euc_kr") for a in range(0xB0, 0xC9) for b in range(0xA1, 0xFF))
 # The most frequent pairs of letters in Russian words.
 RUSSIAN_PAIRS = set(
     "ст но ен то на ов ни ра во ко по ро не го пр ос ре та ри ор ер ал ка ел ть ло от ом ол ли ва од ти ан ле де "
@@ -52,7 +54,7 @@ def kind(ch: str) -> tuple[str, float]:
     if o < 128:
         return ("A" if ch.isalpha() else ".", 0.0)
     if 0xAC00 <= o <= 0xD7A3:
-        return "H", 0.2
+        return "H", 0.2 if ch in SYLLABLES else 2.0
     if "а" <= ch <= "я" or "А" <= ch <= "Я" or ch in "ёЁ":
         return "C", 0.2
     if 0x400 <= o <= 0x52F:
@@ -173,12 +175,20 @@ def _sequence(raw: list[bytes | None], i: int) -> int:
     return n
 
 
+def _is_utf8(b: bytes) -> bool:
+    try:
+        b.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _writable(run: str, codec: str) -> list[tuple[int, int]]:
-    """Stretches of at least two characters that the codec can write."""
+    """Stretches that the codec can write; a single character counts where its bytes are UTF-8."""
     out, a = [], 0
     for i in range(len(run) + 1):
         if i == len(run) or _byte_of(run[i], codec) is None:
-            if i - a >= 2:
+            if i - a >= 2 or i > a and _is_utf8(_byte_of(run[a], codec)):
                 out.append((a, i))
             a = i + 1
     return out
@@ -198,18 +208,35 @@ def _utf8_readings(chunk: str, least: float) -> tuple[tuple[int, str], ...]:
     return tuple(out)
 
 
+def _replaced(chunk: str, places: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, b, new in places:
+        out += [chunk[at:a], new]
+        at = b
+    return "".join(out) + chunk[at:]
+
+
+def _multi_byte_reading(chunk: str, codec: str, least: float) -> str:
+    """As _utf8_reading. One accented letter is one character here, so the stretches of a chunk are judged together."""
+    places = []
+    before = cost(chunk)
+    for m in _RUNS.finditer(chunk):
+        run = m.group()
+        for a, b in _writable(run.rstrip(" "), codec):
+            new = b"".join(_byte_of(c, codec) for c in run[a:b]).decode("utf-8", "replace")
+            place = (m.start() + a, m.start() + b, new)
+            if before - cost(_replaced(chunk, [place])) >= LESS:
+                places.append(place)
+    new = _replaced(chunk, places)
+    return new if places and before - cost(new) >= least else chunk
+
+
 def _utf8_reading(chunk: str, codec: str, least: float) -> str:
+    if codec in MULTI_BYTE:
+        return _multi_byte_reading(chunk, codec, least)
     out, at = [], 0
     for m in _RUNS.finditer(chunk):
         run = m.group()
-        if codec in MULTI_BYTE:
-            for a, b in _writable(run.rstrip(" "), codec):
-                old = run[a:b]
-                new = b"".join(_byte_of(c, codec) for c in old).decode("utf-8", "replace")
-                if cost(old) - cost(new) >= least:
-                    out += [chunk[at : m.start() + a], new]
-                    at = m.start() + b
-            continue
         raw = [_byte_of(c, codec) for c in run]
         if run.endswith(" "):
             raw[-1] = b"\xa0" if len(run) > 1 and raw[-2] == b"\xc3" else None
@@ -243,11 +270,10 @@ def _utf8_steps(text: str, least: float):
         for k, new in _utf8_readings(chunk, least):
             changed.setdefault(k, []).append((a, b, new))
     for k, places in sorted(changed.items()):
-        if UTF8_READ_AS[k] not in MULTI_BYTE:
-            # Between damaged chunks, and to the ends of their lines, less is needed to believe in damage of this kind.
-            low, high = text.rfind("\n", 0, places[0][0]), text.find("\n", places[-1][1])
-            near = [(a, b, c) for a, b, c in chunks if low < a and (high < 0 or a < high)]
-            places = [(a, b, new) for a, b, c in near for j, new in _utf8_readings(c, LESS) if j == k]
+        # Between damaged chunks, and to the ends of their lines, less is needed to believe in damage of this kind.
+        low, high = text.rfind("\n", 0, places[0][0]), text.find("\n", places[-1][1])
+        near = [(a, b, c) for a, b, c in chunks if low < a and (high < 0 or a < high)]
+        places = [(a, b, new) for a, b, c in near for j, new in _utf8_readings(c, LESS) if j == k]
         out, at = [], 0
         for a, b, new in places:
             out += [text[at:a], new]
@@ -387,8 +413,8 @@ def restore(text: str, least: float = 2.5, step_cost: float = 0.5, most_states:
     return found, best[1] if way else text, best[2] if way else "", start, after if way else start
 
 
-_HARMLESS = "".join(sorted(re.escape(c) for c in (LETTERS - set("ÃÂ")) | PUNCTUATION | set("£€°½№¡¿")))
-_SUSPECT = re.compile(rf"[^\x00-\x7f{_HARMLESS}가-힣]|[a-zß-ÿ][À-ÖØ-Þ]|&#?\w+;")
+_HARMLESS = "".join(sorted(re.escape(c) for c in (LETTERS - set("ÃÂ")) | PUNCTUATION | SYLLABLES | set("£€°½№¡¿")))
+_SUSPECT = re.compile(rf"[^\x00-\x7f{_HARMLESS}]|[a-zß-ÿ][À-ÖØ-Þ]|[A-Za-z][가-힣]|[가-힣][A-Za-z]|&#?\w+;")
 
 
 def needs_search(text: str) -> bool:

@@ -72,3 +72,25 @@ def test_corpus(spark):
     assert rows(got.where("found").select("doc_id")) == sorted([(1,), (1,), (None,), (5,)], key=repr)
     assert {r["restored"] for r in got.where("doc_id = 1").collect()} == {CLEAN["es"]}
     assert rows(restore_texts(df.limit(0))) == []
+
+
+LONE = ["résumé", "für", "déjà vu", "la señal", "średnia", "Œuvre fête", "seleção dragão", "Der müde Schütze überprüfte den Turm"]
+
+
+@pytest.mark.parametrize("read", ["gbk", "cp949", "cp932"])
+@pytest.mark.parametrize("text", LONE)
+def test_lone_letters_read_with_two_byte_codecs(text, read):
+    bad = damaged(text, "utf-8", read)
+    assert bad != text and needs_search(bad) and restore(bad)[:2] == (True, text), bad
+
+
+@pytest.mark.parametrize("read", ["gbk", "cp949", "cp932"])
+@pytest.mark.parametrize("lang", CLEAN)
+def test_two_byte_damage_is_found(lang, read):
+    bad = CLEAN[lang].encode().decode(read, "replace")
+    assert needs_search(bad) and restore(bad)[0], bad
+
+
+@pytest.mark.parametrize("text", ["Grimmir처럼 mid를 MVP는 CS체크 gg요", "baron 체크 책 첫 수 jungle캠프", "Grimmir처 Fenlia채 Ashorb초"])
+def test_hangul_next_to_latin_is_no_case(text):
+    assert not restore(text)[0]
