@@ -14,12 +14,7 @@ from quern.session import spread
 
 RESULT_SCHEMA = "doc_id bigint, item_id bigint, kind string, words int, edits int, doc_word int, changed_slots int"
 
-# Words that follow a number as its unit.
-UNITS = frozenset(
-    "second seconds minute minutes hour hours day days week weeks point points coin coins gold percent meter meters km kg experience "
-    "seconde secondes heure heures jour jours piece pieces or ecus balises sekunden minuten stunden punkte segundos minutos horas puntos pontos".split()
-)
-NUMBER, NAME, UNIT = 1, 2, 3
+NUMBER, NAME, UNIT, MEASURE = 1, 2, 3, 4
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _SPLIT = re.compile(r"[—–/|…]+")
@@ -54,6 +49,34 @@ def words_of(text: str) -> list[str]:
     return _MARKS.sub("", plain(text).casefold()).split()
 
 
+# Words that follow a number as its unit, in the form words_of gives them.
+UNITS = frozenset(
+    words_of(
+        "second seconds minute minutes hour hours day days week weeks point points coin coins gold percent meter meters metre metres km kg experience "
+        "seconde secondes heure heures jour jours semaine semaines pièce pièces or écu écus balises mètre mètres expérience "
+        "Sekunde Sekunden Minuten Stunde Stunden Tag Tage Tagen Woche Wochen Punkt Punkte Punkten Münze Münzen Prozent Metern Erfahrung "
+        "segundo segundos minuto minutos hora horas día días semanas semana punto puntos moneda monedas oro metro metros experiencia "
+        "dia dias ponto pontos moeda moedas ouro experiência "
+        "sekunda sekundy sekund sekundę sekundzie minuta minuty minut minutę minucie godzina godziny godzin godzinę godzinie dzień dni dniu tydzień tygodnie tygodni tygodniu "
+        "punkt punkty punktów punktu moneta monety monet monetę złoto złota sztuka sztuki sztuk procent procenty metr metry metrów metra doświadczenia "
+        "секунда секунды секунд секунду секунде минута минуты минут минуту минуте час часа часов часу день дня дней неделя недели недель неделю неделе "
+        "очко очка очков балл балла баллов монета монеты монет монету золото золота процент процента процентов метр метра метров км кг опыта "
+        "초 분 시간 일 주 점 포인트 코인 골드 퍼센트 미터 경험치"
+    )
+)
+# The Korean units, which stand at their number and before particles within one word: 20분에.
+_MEASURE = re.compile(r"\d+(?:%s)" % "|".join(words_of("초 분 시간 일 주 점 포인트 코인 골드 퍼센트 미터 경험치")))
+
+
+def _slot_type(word: str) -> int | None:
+    """NUMBER, UNIT or MEASURE (number and unit in one word) by the word alone."""
+    if word.isdecimal():
+        return NUMBER
+    if word in UNITS:
+        return UNIT
+    return MEASURE if word[:1].isdecimal() and _MEASURE.match(word) else None
+
+
 def _named_words(text: str) -> tuple[list[str], set[str]]:
     """The words of a text and those that look like names: inner hyphens, or capitals within a sentence."""
     out, names, start = [], set(), True
@@ -90,7 +113,7 @@ class TemplateIndex:
         self.ids: dict[str, int] = {}
         for ws in self.words:
             for w in ws:
-                self.ids.setdefault(w, NUMBER if w.isdecimal() else UNIT if w in UNITS else NAME if w in names else len(self.ids) + 10)
+                self.ids.setdefault(w, _slot_type(w) or (NAME if w in names else len(self.ids) + 10))
         places: dict[int, list[tuple[int, int]]] = {}
         for place, ws in enumerate(self.words):
             for a, h in enumerate(self.hashes(np.array([self.ids[w] for w in ws], dtype=np.int64)).tolist()):
@@ -118,10 +141,7 @@ class TemplateIndex:
         get = self.ids.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         for i in np.flatnonzero(ids < 0).tolist():
-            if words[i].isdecimal():
-                ids[i] = NUMBER
-            elif words[i] in UNITS:
-                ids[i] = UNIT
+            ids[i] = _slot_type(words[i]) or -1
         unknown = ids < 0
         ids[unknown] = NAME
         return ids, unknown
@@ -186,7 +206,7 @@ def _slots_agree(item: list[str], doc: list[str], ids, a: int, b: int, n: int) -
     to: dict[str, str] = {}
     back: dict[str, str] = {}
     for x, y, t in zip(item[a : a + n], doc[b : b + n], ids[b : b + n]):
-        if t in (NUMBER, NAME, UNIT) and (to.setdefault(x, y) != y or back.setdefault(y, x) != x):
+        if t in (NUMBER, NAME, UNIT, MEASURE) and (to.setdefault(x, y) != y or back.setdefault(y, x) != x):
             return 0
     return sum(x != y for x, y in to.items())
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quern.llm.leaks import TemplateIndex, find_in, leaks, words_of
 from tests.conftest import rows
 
@@ -86,3 +88,22 @@ def test_corpus(spark):
 
 def test_words():
     assert words_of("Él &eacute;s — l’option 20:09, x_y <b>Z</b>") == ["el", "es", "loption", "2009", "xy", "z"]
+
+
+UNIT_ITEMS = [
+    ("pl", "Kapitan drużyny obliczył wczoraj wieczorem że zwykły smok wraca po 30 sekund jeżeli każdy gracz czeka spokojnie obok rzeki i nikt nie rusza wieży", "30 sekund", "5 minut"),
+    ("ru", "Уставший капитан команды вчера подсчитал что обычный дракон вернётся через 30 секунд если каждый игрок спокойно ждёт возле реки и никто не трогает башню", "30 секунд", "5 минут"),
+    ("ko", "지친 주장 은 어제 저녁 평범한 용 이 정확히 30 초 뒤에 돌아온다고 계산했다 만약 모든 선수 가 강 옆에서 조용히 기다리고 아무도 탑 을 건드리지 않으면", "30 초", "5 분"),
+    ("ko", "지친 주장 은 어제 저녁 평범한 용 이 정확히 30초 뒤에 돌아온다고 계산했다 만약 모든 선수 가 강 옆에서 조용히 기다리고 아무도 탑 을 건드리지 않으면", "30초", "5분"),
+    ("es", "El capitán cansado calculó ayer que el dragón normal vuelve después de 30 monedas si cada jugador espera tranquilo junto al río y nadie toca la torre", "30 monedas", "5 semanas"),
+    ("pt", "O capitão cansado calculou ontem que o dragão normal volta depois de 30 moedas se cada jogador espera tranquilo junto ao rio e ninguém toca na torre", "30 moedas", "5 pontos"),
+    ("de", "Der müde Kapitän berechnete gestern dass der gewöhnliche Drache nach 30 Stunden wiederkommt wenn jeder Spieler ruhig neben dem Fluss wartet und niemand den Turm berührt", "30 Stunden", "5 Wochen"),
+    ("fr", "Le capitaine fatigué calcula hier que le dragon normal revient après 30 secondes si chaque joueur attend calmement près de la rivière et personne ne touche la tour", "30 secondes", "5 semaines"),
+    ("en", "The tired captain counted yesterday that the usual dragon comes back after 30 seconds if every player waits calmly beside the river and nobody touches the tower", "30 seconds", "5 metres"),
+]
+
+
+@pytest.mark.parametrize(("lang", "item", "old", "new"), UNIT_ITEMS)
+def test_units_of_all_languages(lang, item, old, new):
+    got = found(item.replace(old, new), item, "template")
+    assert got and got[0][2] == len(item.split()) and got[0][5] == len(old.split())
