@@ -16,7 +16,9 @@ RESULT_SCHEMA = "doc_id bigint, item_id bigint, kind string, words int, edits in
 
 NUMBER, NAME, UNIT, MEASURE = 1, 2, 3, 4
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_VALUE = r"""\s+[\w:.@-]+\s*=\s*(?:"[^"<]*"|'[^'<]*'|[^\s"'<>]+)"""
+# A tag of any length has values for at least every other attribute; else prose between "a <b" and "c> d" would be a tag.
+_TAG = re.compile(rf"</?[A-Za-z][^<>]{{0,200}}>|<[A-Za-z][\w:-]*(?:(?:\s+[\w:.@-]+)?{_VALUE})+(?:\s+[\w:.@-]+)?\s*/?>")
 _SPLIT = re.compile(r"[—–/|…]+")
 _MARKS = re.compile(r"[^\w\s]+|_+")
 _INNER = re.compile(r"\w[-_‑]\w")

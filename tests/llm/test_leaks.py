@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quern.llm.leaks import TemplateIndex, find_in, leaks, words_of
+from quern.llm.leaks import TemplateIndex, find_in, leaks, plain, words_of
 from tests.conftest import rows
 
 ITEM = (
@@ -107,3 +107,15 @@ UNIT_ITEMS = [
 def test_units_of_all_languages(lang, item, old, new):
     got = found(item.replace(old, new), item, "template")
     assert got and got[0][2] == len(item.split()) and got[0][5] == len(old.split())
+
+
+def test_long_tags():
+    w = WORDS[:22]
+    link = '<a href="https://example.org/t?' + "&".join(f"utm_{i}=value{i}" for i in range(40)) + '" hidden class=x>'
+    style = "<span style='" + "color: red; margin: 0 auto; " * 20 + "'>"
+    for tag in (link, style):
+        assert len(tag) > 200
+        assert found(" ".join(w[:5]) + f" {tag} " + " ".join(w[5:11]) + f" {tag} " + " ".join(w[11:16]) + f" {tag} " + " ".join(w[16:]))
+    assert found("where a <b holds, " + " ".join(WORDS) + " and so on until c> d")
+    plain("<a x=" + '"' * 5 + "<a b " * 40_000)
+    plain("<a" + " b=c d" * 40_000)
