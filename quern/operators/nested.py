@@ -82,6 +82,34 @@ def documents_in(value, root_key: str, depth: int = 0) -> Iterator[dict]:
                 yield from documents_in(x, root_key, depth + 1)
 
 
+def _arrays(v):
+    """A value with arrays for those spelled as objects."""
+    items = _as_list(v)
+    if items is not None:
+        return [_arrays(x) for x in items]
+    return {k: _arrays(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+
+def plain_documents(payload: str | None, root_key: str = "info") -> list[str | None]:
+    """JSON of each document in a payload, plainly packed; the payload itself where there is none."""
+    if payload is None:
+        return [None]
+    try:
+        whole = json.loads(payload.strip().lstrip("\ufeff").lstrip())
+        docs = list(documents_in(whole, root_key))
+        if len(docs) == 1 and docs[0] is whole and _arrays(whole) == whole:
+            return [payload]
+        return [json.dumps(_arrays(x)) for x in docs] or [payload]
+    except (ValueError, RecursionError):
+        return [payload]
+
+
+def unwrapped(records: DataFrame, payload_column: str, root_key: str = "info") -> DataFrame:
+    """records with one row for each document in their payload, however wrapped; others keep their row as it is."""
+    plain = F.udf(lambda x: plain_documents(x, root_key), "array<string>", useArrow=True)
+    return spread(records).withColumn(payload_column, F.explode(plain(F.col(payload_column).cast("string"))))
+
+
 class _Shredder:
     """Collects nodes of one Arrow batch; what was emitted lately is not emitted again."""
 

@@ -9,7 +9,7 @@ from quern.functions.clock import clock_hour, local_time, zone_of
 from quern.functions.ids import clean_match_id, clean_player
 from quern.functions.oracle_text import epoch_ms_sql, match_id_sql, normal_quantile_sql, player_sql
 from quern.functions.text import prefix_or_whole
-from quern.operators import audit, choosing, labels, relations, statistics
+from quern.operators import audit, choosing, labels, nested, relations, statistics
 from quern.operators.features import MATCH_SCHEMA, drop_reason, match_features
 from quern.operators.sessions import usable_match_times
 from quern.plans.registry import Registry
@@ -120,13 +120,13 @@ def k_replace_children(t):
 
 
 def _documents(t):
-    d = t.raw_match_docs.withColumn("m", F.from_json("payload", MATCH_SCHEMA))
+    d = nested.unwrapped(t.raw_match_docs.select("payload", "source_folder", "source_file"), "payload").withColumn("m", F.from_json("payload", MATCH_SCHEMA))
     return d.select("m.metadata", "m.info", "source_folder", "source_file")
 
 
 @R_.add()
 def f_match_reasons(t):
-    """Drop reasons of the received documents, read with the fixed schema."""
+    """Drop reasons of the received documents, however wrapped, read with the fixed schema."""
     return audit.reason_counts(_documents(t).withColumn("reason", drop_reason()))
 
 

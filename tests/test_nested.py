@@ -1,6 +1,6 @@
 import json
 
-from quern.operators.nested import bridge, documents_in, match_children, objects, rebuild, roots, shred
+from quern.operators.nested import bridge, documents_in, match_children, objects, rebuild, roots, shred, unwrapped
 from tests.conftest import rows
 
 SCHEMA = "record_id bigint, payload string, source_file string, hash string, role string"
@@ -67,3 +67,22 @@ def test_depth_is_bounded():
     for _ in range(500):
         x = {"w": x}
     assert list(documents_in(x, "info")) == []
+
+
+def test_unwrapped(spark):
+    spelled = {**DOC, "info": {**DOC["info"], "participants": {str(i): x for i, x in enumerate(DOC["info"]["participants"])}}}
+    plain = json.dumps(DOC)
+    wraps = [plain, json.dumps({"response": {"body": DOC}}), json.dumps(plain), json.dumps([DOC, {"match": DOC}]), json.dumps(spelled), "{broken", None, '{"metadata": {"matchId": "x"}}']
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(wraps)], "n int, payload string")
+    got = unwrapped(df, "payload").collect()
+    docs = {n: [json.loads(r["payload"]) for r in got if r["n"] == n] for n in range(5)}
+    assert docs == {0: [DOC], 1: [DOC], 2: [DOC], 3: [DOC, DOC], 4: [DOC]}
+    assert [[r["payload"] for r in got if r["n"] == n] for n in (0, 5, 6, 7)] == [[plain], ["{broken"], [None], [wraps[7]]]
+
+
+def test_features_of_wrapped_documents(spark, tmp_path):
+    from quern.plans.domain_queries import QUERIES
+
+    records = [(json.dumps(DOC), "a", "1"), (json.dumps({"response": DOC}), "a", "2"), (json.dumps(json.dumps(DOC)), "a", "3"), ("{}", "a", "4")]
+    spark.createDataFrame(records, "payload string, source_folder string, source_file string").write.parquet(f"{tmp_path}/raw_match_docs.parquet")
+    assert rows(QUERIES["f_match_reasons"](spark, str(tmp_path))) == [("missing_info_or_metadata", 1), ("participant_count_not_10", 3)]
