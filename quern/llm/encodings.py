@@ -23,6 +23,8 @@ RESULT_SCHEMA = "doc_id bigint, found boolean, restored string, path string, cos
 LETTERS = set("éèêëàâçùûüôœîïäößáíóúñãõìąćęłńśźż") | set("ÉÈÊËÀÂÇÙÛÜÔŒÎÏÄÖÁÍÓÚÑÃÕĄĆĘŁŃŚŹŻ")
 PUNCTUATION = set("’‘“”„«»–—…‑•")
 PLAIN_SIGNS = set("£€°½№¡¿§")
+# Combining grave, acute, circumflex, tilde, breve, dot, diaeresis, ring, double acute, caron, cedilla, ogonek; keycap and emoji style.
+COMMON_MARKS = set("\u0300\u0301\u0302\u0303\u0306\u0307\u0308\u030a\u030b\u030c\u0327\u0328\u20e3\ufe0e\ufe0f")
 # The 2,350 syllables of KS X 1001; the other 8,822 are next to unused.
 SYLLABLES = frozenset(bytes((a, b)).decode("euc_kr") for a in range(0xB0, 0xC9) for b in range(0xA1, 0xFF))
 # The most frequent pairs of letters in Russian words.
@@ -77,7 +79,7 @@ def kind(ch: str) -> tuple[str, float]:
     if cat[0] == "Z" or cat == "Cf":
         return ".", 0.3
     if cat[0] == "M":
-        return ".", 1.0
+        return ".", 1.0 if ch in COMMON_MARKS else 3.0
     if 0xFF61 <= o <= 0xFFDC or 0x3040 <= o <= 0x30FF or 0x3400 <= o <= 0x9FFF or 0xF900 <= o <= 0xFAFF:
         return "J", 2.0
     if o >= 0x1F000 or 0xFF00 <= o <= 0xFFEF:
@@ -120,6 +122,8 @@ def word_cost(w: str) -> float:
                 total += 2
             if ch in "ÂÃ" and after == "S" and (not before or before not in letters):
                 total += 2
+            if ch == "Ã" and w[i + 1 : i + 2] == "\xa0" and (not before or before not in letters):
+                total += 3
             if before == "C" or after == "C":
                 total += 3
         elif k == "C":
@@ -159,6 +163,25 @@ _RUNS = re.compile(r"[^\x00-\x7f]+(?: $)?")
 _CHUNKS = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
 
 
+@lru_cache(maxsize=None)
+def _undefined(codec: str) -> tuple[bytes, ...]:
+    """Bytes that a codec cannot read, which became replacement characters."""
+    return tuple(b for b in (bytes([o]) for o in range(0x80, 0x100)) if b.decode(codec, "replace") == LOST)
+
+
+def _fill(raw: list[bytes | None], run: str, codec: str) -> None:
+    """Puts the lost last byte of a sequence into raw where only one letter or sign can have had it."""
+    for i, c in enumerate(run):
+        for n in (2, 3):
+            if c == LOST and i + 1 >= n and raw[i] is None:
+                fits = []
+                for b in _undefined(codec):
+                    raw[i] = b
+                    if _sequence(raw, i + 1 - n) == n and (ch := b"".join(raw[i + 1 - n : i + 1]).decode()) and (ch in LETTERS or ch in PUNCTUATION):
+                        fits.append(b)
+                raw[i] = fits[0] if len(fits) == 1 else None
+
+
 def _sequence(raw: list[bytes | None], i: int) -> int:
     """Length of the valid UTF-8 sequence of single bytes at i, or 0."""
     b = raw[i]
@@ -200,12 +223,22 @@ def _utf8_readings(chunk: str, least: float) -> tuple[tuple[int, str], ...]:
 
     A chunk is text without ASCII white space; a blank at its end may stand for a no-break space within a sequence.
     """
-    out = []
-    for k, codec in enumerate(UTF8_READ_AS):
-        new = _utf8_reading(chunk, codec, least)
-        if new != chunk:
-            out.append((k, new))
-    return tuple(out)
+    # A reading is left to another codec where that one's leads to a text better by more than a step costs.
+    out = [(k, new, _lowest(new)) for k, new in _all_readings(chunk, least)]
+    lowest = min((c for *_, c in out), default=0.0)
+    return tuple((k, new) for k, new, c in out if c <= lowest + LESS)
+
+
+@lru_cache(maxsize=65536)
+def _all_readings(chunk: str, least: float) -> tuple[tuple[int, str], ...]:
+    readings = [(k, _utf8_reading(chunk, codec, least)) for k, codec in enumerate(UTF8_READ_AS)]
+    return tuple((k, new) for k, new in readings if new != chunk)
+
+
+@lru_cache(maxsize=65536)
+def _lowest(chunk: str) -> float:
+    """The lowest cost that UTF-8 readings of a chunk, one after the other, lead to; each makes the chunk cheaper."""
+    return min([cost(chunk), *(_lowest(new) for _, new in _all_readings(chunk, LESS))])
 
 
 def _replaced(chunk: str, places: list[tuple[int, int, str]]) -> str:
@@ -238,6 +271,8 @@ def _utf8_reading(chunk: str, codec: str, least: float) -> str:
     for m in _RUNS.finditer(chunk):
         run = m.group()
         raw = [_byte_of(c, codec) for c in run]
+        if LOST in run:
+            _fill(raw, run, codec)
         if run.endswith(" "):
             raw[-1] = b"\xa0" if len(run) > 1 and raw[-2] == b"\xc3" else None
         i = 0
@@ -250,7 +285,7 @@ def _utf8_reading(chunk: str, codec: str, least: float) -> str:
                 a, b = m.start() + i, m.start() + j
                 text = "".join(new)
                 gain = cost(chunk) - cost(chunk[:a] + text + chunk[b:])
-                if gain >= least and gain >= 0.8 * count:
+                if gain >= least and gain >= 0.75 * count:
                     out += [chunk[at:a], text]
                     at = b
             i = max(j, i + 1)
@@ -314,8 +349,12 @@ def _single_readings(word: str) -> dict[int, tuple[str, float]]:
 def _single_steps(text: str, least: float):
     """(read, written, text) for every pair of codecs that makes some stretch of the text far better."""
     words = [(*m.span(), m.group(), _single_readings(m.group())) for m in _WORDS.finditer(text)]
-    hopeful = {k for _, _, _, r in words for k, (_, gain) in r.items() if gain > 0}
-    for k in sorted(hopeful):
+    hopeful: dict[int, float] = {}
+    for *_, readings in words:
+        for k, (_, gain) in readings.items():
+            if gain > 0:
+                hopeful[k] = hopeful.get(k, 0.0) + gain
+    for k in sorted(k for k, total in hopeful.items() if total >= least + 1):
         new = _single_places(text, words, k, least)
         if new is not None:
             yield *SINGLE_BYTE[k], new
@@ -336,6 +375,9 @@ def _single_places(text: str, words: list, k: int, least: float, slack: float =
         nonlocal at
         kept = stretch[:end]
         turned = any(kind(c)[0] in "CHJ" for _, _, _, new in kept for c in new)
+        hangul = [sum("가" <= c <= "힣" for c in new) for _, _, _, new in kept]
+        if any(hangul) and sum(hangul) < 1.5 * sum(n > 0 for n in hangul):
+            return  # syllables one by one are no Korean
         if kept and _bad_before([old for _, _, old, _ in kept], best, least, turned):
             for a, b, _, new in kept:
                 out.extend((text[at:a], new))
@@ -357,10 +399,23 @@ def _single_places(text: str, words: list, k: int, least: float, slack: float =
     return "".join(out) + text[at:] if out else None
 
 
+_AMPERSANDS = re.compile(r"&(?:(?:amp|#0*38|#[xX]0*26);)+")
+
+
+def unescape(text: str) -> str:
+    """Character references resolved, also those of references."""
+    return html.unescape(_AMPERSANDS.sub("&", text)) if "&" in text else text
+
+
+def price(text: str) -> float:
+    """Cost of what a text stands for: references cost what their characters do, so that escaping hides no damage."""
+    return cost(unescape(text))
+
+
 def steps(text: str, least: float):
     """Neighbours of a text in the graph: (name, text)."""
     if "&" in text:
-        yield "unescape", html.unescape(text)
+        yield "unescape", unescape(text)
     if not text.isascii():
         for codec, new in _utf8_steps(text, least):
             yield f"utf-8 read as {codec}", new
@@ -368,58 +423,130 @@ def steps(text: str, least: float):
             yield f"{written} read as {read}", new
 
 
-def _settled(text: str, price: float, least: float) -> bool:
-    """Whether a text is about as plausible as its letters allow, so that no other reading can be much better."""
-    return price <= least + sum(min(kind(c)[1], 1.0) for c in text if not c.isascii())
-
-
-def restore(text: str, least: float = 2.5, step_cost: float = 0.5, most_states: int = 24) -> tuple[bool, str, str, float, float]:
-    """(found, restored text, path, cost before, cost after) of one text.
-
-    Best-first search: the cheapest open state is expanded next; a state counts its cost and step_cost for each
-    step. It ends when nothing is open, when the best text is settled, or when most_states states
-    were expanded; the best so far holds. A step must
-    make the text cheaper, as every right one does, but states dearer than the best are expanded as well: the right
-    first step of text damaged twice need not be the best one. found: the way from the text, or from it with
-    its character references resolved, lowers the cost by at least `least`; or replacement characters stand at
-    letters or digits, where the original is lost.
-    """
-    start = cost(text)
-    seen, best = {hash(text)}, (start, text, "")
-    heap, states = [(start, 0, text, "")], 0
-    top = start
-    while heap and states < most_states:
-        price, _, now, path = heapq.heappop(heap)
-        if path and price > best[0] and _settled(best[1], best[0], least):
+@lru_cache(maxsize=65536)
+def _excess(word: str) -> float:
+    """Cost above what its letters and one odd neighbour account for; none where characters are lost for good."""
+    if LOST in word:
+        return 0.0
+    return max(0.0, word_cost(word) - sum(min(kind(c)[1], 1.0) for c in word if not c.isascii()) - 1.0)
+
+
+def _settled(text: str, words: set[str], least: float) -> bool:
+    """Whether what is not among words is as plausible as its letters allow, to less than is evidence of damage."""
+    return sum(_excess(w) for w in _WORDS.findall(unescape(text)) if w not in words) <= least
+
+
+def _search(text: str, least: float, step_cost: float, states: int | None) -> tuple[str, str, float, float] | None:
+    """(best text, its path, price before, price after), or None where more than `states` states would be expanded."""
+    start = price(text)
+    words = set(_WORDS.findall(unescape(text)))
+    best, settled = (start, text, ""), False
+    # Both forms of a text are searched from before any result can end the search.
+    seeds = [text, unescape(text)] if "&" in text and unescape(text) != text else [text]
+    seen, heap = set(seeds), [(start if i == 0 else start - step_cost, i, t, "unescape" if i else "", start) for i, t in enumerate(seeds)]
+    heapq.heapify(heap)
+    left = len(seeds)
+    while heap:
+        p, nth, now, path, own = heapq.heappop(heap)
+        if p > best[0] and settled and not left:
             break
-        states += 1
+        left -= nth < len(seeds)
+        if states is not None:
+            states -= 1
+            if states < 0:
+                return None
         for name, new in steps(now, least):
-            if new == now or hash(new) in seen:
+            if new in seen:
+                continue
+            seen.add(new)
+            c = price(new)
+            if c >= own - step_cost and name != "unescape":
                 continue
-            seen.add(hash(new))
-            c = cost(new)
-            if name == "unescape" and not path:
-                top = max(top, c)
             to = f"{path} > {name}" if path else name
             p = c + step_cost * (to.count(">") + 1)
             if p < best[0]:
-                best = (p, new, to)
-            if p < price or name == "unescape":
-                heapq.heappush(heap, (p, len(seen), new, to))
-    after = cost(best[1])
-    way = [s for s in best[2].split(" > ") if s and s != "unescape"]
-    lost = re.search(rf"[^\W_]{LOST}|{LOST}[^\W_]", text) is not None
-    found = bool(way) and top - after >= least or lost
-    return found, best[1] if way else text, best[2] if way else "", start, after if way else start
+                best, settled = (p, new, to), _settled(new, words, least)
+            heapq.heappush(heap, (p, len(seen) + 1, new, to, c))
+    return best[1], best[2], start, price(best[1])
+
 
+_LOST = re.compile(rf"[^\W_]{LOST}|{LOST}[^\W_]")
 
-_HARMLESS = "".join(sorted(re.escape(c) for c in (LETTERS - set("ÃÂ")) | PUNCTUATION | SYLLABLES | set("£€°½№¡¿")))
-_SUSPECT = re.compile(rf"[^\x00-\x7f{_HARMLESS}]|[a-zß-ÿ][À-ÖØ-Þ]|[A-Za-z][가-힣]|[가-힣][A-Za-z]|&#?\w+;")
 
+def _middle(text: str) -> int:
+    """Where to part a text: after the line break, else the blank, nearest its middle; 0 where it has none."""
+    half = len(text) // 2
+    for sign in "\n ":
+        at = max((i + 1 for i in (text.rfind(sign, 0, half), text.find(sign, half)) if 0 <= i < len(text) - 1), key=lambda i: -abs(i - half), default=0)
+        if at:
+            return at
+    return 0
 
-def needs_search(text: str) -> bool:
-    """Whether a text holds anything the search could start from; cheap, and never true only of damaged text."""
-    return not text.isascii() and _SUSPECT.search(text) is not None or "&" in text and _SUSPECT.search(text) is not None
+
+def restore(text: str, least: float = 2.5, step_cost: float = 0.5, states: int = 64) -> tuple[bool, str, str, float, float]:
+    """(found, restored text, path, cost before, cost after) of one text.
+
+    Best-first search: the cheapest open state is expanded next; a state counts its cost and step_cost for each step.
+    A step must make the text cheaper by more than it costs, as every right one does, or resolve references; states
+    dearer than the best are expanded as well, since the right first step of text damaged twice need not be the best
+    one. The search ends when nothing is open. Texts damaged in so many independent ways that more than `states`
+    states come up are parted near the middle, at a line break or blank, and each part is searched by itself: the
+    ways of the parts no longer multiply, and a part without any blank is searched to its end whatever that takes.
+
+    found: re-decodings lower the cost by at least `least`, references counted as the characters they stand for; or
+    replacement characters stand at letters or digits, where the original is lost.
+    """
+    done: list[tuple[str, str, float, float]] = []
+    parts, read = [text], []
+    while parts:
+        part = parts.pop()
+        at = _middle(part)
+        got = _search(part, least, step_cost, states if at else None)
+        if got is None:
+            parts += [part[at:], part[:at]]
+        else:
+            done.append(got)
+            read.append(part)
+    way: list[str] = []
+    out, before, after = [], 0.0, 0.0
+    for (new, path, b, a) in done:
+        used = [s for s in path.split(" > ") if s]
+        if not any(s != "unescape" for s in used):
+            new, used, a = None, [], b
+        way += [s for s in used if s not in way] if len(done) > 1 else used
+        out.append(new)
+        before, after = before + b, after + a
+    gain = before - after
+    lost = _LOST.search(text) is not None
+    found = bool(way) and gain >= least or lost
+    if not way:
+        return lost, text, "", before, before
+    return found, "".join(part if new is None else new for part, new in zip(read, out)), " > ".join(way), before, after
+
+
+@lru_cache(maxsize=262144)
+def _openings(word: str, least: float) -> tuple[bool, tuple[tuple[int, float], ...]]:
+    """Whether UTF-8 readings alone open a step from this word, and what it adds to those of single bytes."""
+    hot = bool(_utf8_readings(word, least)) or not word[-1].isascii() and bool(_utf8_readings(word + " ", least))
+    return hot, tuple((k, gain) for k, (_, gain) in _single_readings(word).items() if gain > 0)
+
+
+def has_steps(text: str, least: float = 2.5) -> bool:
+    """False only where the search has no step to take and nothing is lost: it decides by the rules of the steps."""
+    if "&" in text:
+        text = unescape(text)
+    if text.isascii():
+        return False
+    if LOST in text:
+        return True
+    sums: dict[int, float] = {}
+    for w in _WORDS.findall(text):
+        hot, gains = _openings(w, least)
+        if hot:
+            return True
+        for k, gain in gains:
+            sums[k] = sums.get(k, 0.0) + gain
+    return any(total >= least + 1 for total in sums.values())
 
 
 def _batches(least: float):
@@ -429,7 +556,7 @@ def _batches(least: float):
         for b in batches:
             rows, known = [], {}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text is None or not needs_search(text):
+                if text is None or not has_steps(text, least):
                     rows.append((doc_id, False, text, "", 0.0, 0.0))
                     continue
                 if text not in known:
