@@ -10,7 +10,9 @@ from quern.functions.subquery import with_row
 
 def quantile_edges(df: DataFrame, column: str, n: int) -> DataFrame:
     """One row, `edges`: the n - 1 inner quantiles (exact, linear interpolation)."""
-    return df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("edges"))
+    from quern.operators.quantiles import quantiles
+
+    return quantiles(df, [], column, [i / n for i in range(1, n)], "edges")
 
 
 def left_closed_bin(v: Column, edges: Column) -> Column:

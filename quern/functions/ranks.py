@@ -20,6 +20,23 @@ DEFAULT_SHARES = (
 # League points at which the default ladder's upper ranks begin.
 GRANDMASTER_LP, CHALLENGER_LP, FIRST_LP = 1000.0, 1250.0, 2400.0
 EPSILON_PCT = 0.01
+# Points at which GrandMaster and Challenger begin and the first place stands, by server.
+SERVER_CUTOFFS = {
+    "BR1": (685.0, 1033.4, 2014.4),
+    "EUN1": (664.0, 948.0, 2200.2),
+    "EUW1": (1029.0, 1366.0, 2303.0),
+    "JP1": (705.5, 1007.4, 1581.7),
+    "KR": (1030.0, 1291.0, 2006.0),
+    "LA1": (598.2, 943.0, 2300.6),
+    "LA2": (577.4, 907.4, 1849.5),
+    "NA1": (626.0, 969.6, 2351.0),
+    "OC1": (478.0, 808.0, 1851.7),
+    "SG2": (227.0, 575.0, 1721.9),
+    "ME1": (478.0, 808.0, 1851.7),
+    "TR1": (478.0, 808.0, 1851.7),
+    "TW2": (245.0, 643.0, 1600.3),
+    "VN2": (702.0, 1026.0, 2085.0),
+}
 
 
 def rank_name(tier: Column, division: Column) -> Column:
@@ -62,6 +79,25 @@ def ladder(spark: SparkSession, shares: dict[str, tuple[float, ...]] | None = No
     return df.select("server", "ord", "rank", "lower_pct", "upper_pct")
 
 
+def cutoffs(spark: SparkSession, own: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+    """server, gm, chall, first: the points at which the upper ranks begin, of every server that has its own."""
+    return spark.createDataFrame([(s, *c) for s, c in (own or SERVER_CUTOFFS).items()], "server string, gm double, chall double, first double")
+
+
+def shares_of(spark: SparkSession, path: str) -> dict[str, tuple[float, ...]]:
+    """Ladder shares by server from a table (server, ord, share) of 31 rows a server, for `ladder`; csv with a header.
+
+    Raises ValueError where a server's ladder is not whole. A few rows for each server: read to the driver.
+    """
+    out: dict[str, dict[int, float]] = {}
+    for r in spark.read.option("header", "true").schema("server string, ord int, share double").csv(path).collect():
+        out.setdefault(r["server"].upper(), {})[r["ord"]] = r["share"]
+    for server, shares in out.items():
+        if sorted(shares) != list(range(len(RANKS))) or None in shares.values():
+            raise ValueError(f"{path} has no whole ladder for {server}")
+    return {s: tuple(v[i] for i in range(len(RANKS))) for s, v in out.items()}
+
+
 def effective_rank(rank: Column, lp: Column, grandmaster: Column | float = GRANDMASTER_LP, challenger: Column | float = CHALLENGER_LP) -> Column:
     """The rank after at most one promotion: Master with enough points counts as GrandMaster, GrandMaster as Challenger."""
     return F.when((rank == "Master") & (lp >= grandmaster), "GrandMaster").when((rank == "GrandMaster") & (lp >= challenger), "Challenger").otherwise(rank)

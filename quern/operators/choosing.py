@@ -151,17 +151,19 @@ def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 def capped_by_order(df: DataFrame, order: list, caps: list[tuple[str, int]], rest: str, out: str = "label") -> DataFrame:
     """Label by place in a global order: the first cap rows, the next cap rows, ..., the rest.
 
-    Only the top rows (the sum of the caps) are sorted globally; their labels are joined back by all columns.
+    Every row, a repeated one as well, has one place and one label; which of two rows that tie comes first is not
+    defined. Rows are numbered within range partitions, so that no task sorts them all.
     """
-    total = sum(n for _, n in caps)
-    top = df.orderBy(*order).limit(total).withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
-    bound, chain = 0, None
+    from quern.operators.relations import with_row_id
+
+    bound, chain = 0, F.lit(rest)
+    bounds = []
     for name, n in caps:
         bound += n
-        chain = F.when(F.col("_rn") <= bound, name) if chain is None else chain.when(F.col("_rn") <= bound, name)
-    labelled = top.select(*[F.col(c).alias(f"_t_{c}") for c in df.columns], chain.alias(out))
-    same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in df.columns]
-    return df.join(F.broadcast(labelled), same, "left").select(*df.columns, F.coalesce(out, F.lit(rest)).alias(out))
+        bounds.append((name, bound))
+    for name, bound in reversed(bounds):
+        chain = F.when(F.col("_place") < bound, name).otherwise(chain)
+    return with_row_id(df, order, "_place").withColumn(out, chain).drop("_place")
 
 
 def first_per_signature(df: DataFrame, sig: str, id_column: str) -> DataFrame:
@@ -172,8 +174,45 @@ def first_per_signature(df: DataFrame, sig: str, id_column: str) -> DataFrame:
 
 
 def streaks(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
-    """Runs of equal values of each key in order: keys, value, length, run (number from 1)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    d = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
-    return d.groupBy(*keys, "run", value).agg(F.count("*").alias("length"))
+    """Runs of equal values of each key in order: keys, value, length, run (number from 1).
+
+    A null value is a value like any other; rows that tie in the order may come in any order. Runs are found within
+    range partitions of (keys, order), whatever the number of rows of a key; those at a partition's borders are then
+    merged with their neighbours. What meets in one task for that is at most two partial runs of each partition.
+    """
+    from quern.operators.relations import ranged
+
+    by = [*[F.asc(k) for k in keys], *order]
+    kept = ranged(df, by)
+    w = Window.partitionBy("_part").orderBy(*by, "_tie")
+    same = F.lit(True)
+    for c in (*keys, value):
+        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
+    fresh = F.when(same & (F.row_number().over(w) > 1), 0).otherwise(1)
+    local = kept.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w))
+    local = local.groupBy("_part", "_run", *keys, value).agg(F.count("*").alias("length"))
+    last = local.groupBy("_part").agg(F.max("_run").alias("_last"))
+    local = local.join(F.broadcast(last), "_part")
+    at_border = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
+    edge = Window.orderBy("_part", "_run")
+    joined = F.lit(True)
+    for c in (*keys, value):
+        joined = joined & F.lag(c).over(edge).eqNullSafe(F.col(c))
+    # A partition's first run goes on the last one of the partition before where keys and value are the same.
+    goes_on = joined & (F.col("_run") == 1) & (F.row_number().over(edge) > 1)
+    border = local.where(at_border).withColumn("_group", F.sum(F.when(goes_on, 0).otherwise(1)).over(edge))
+    merged = border.groupBy("_group", *keys, value).agg(F.min(F.struct("_part", "_run")).alias("_at"), F.sum("length").alias("length"))
+    inner = local.where(~at_border).select(*keys, value, F.struct("_part", "_run").alias("_at"), "length")
+    runs = inner.unionByName(merged.select(*keys, value, "_at", "length"))
+    numbered = numbered_within(runs, keys, [F.col("_at._part"), F.col("_at._run")], "run")
+    return numbered.select(*keys, value, "length", F.col("run").cast("bigint").alias("run"))
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """df with numbers from 1 within each key in an order, also of keys that hold a large part of all rows."""
+    from quern.operators.relations import with_row_id
+
+    by = with_row_id(df, [*[F.asc(k) for k in keys], *order], "_id")
+    first = by.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_id").alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return by.join(first, same).select(*df.columns, (F.col("_id") - F.col("_first") + 1).alias(out))

@@ -44,11 +44,21 @@ def unseen(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 def trailing_counts(events: DataFrame, keys: list[str], seconds: Column, width_s: int, out: str = "trailing") -> DataFrame:
     """events with the number of a key's events in the last width_s seconds up to and with each.
 
-    seconds is a bigint. Rows at the same second count together.
+    seconds is a bigint. Rows at the same second count together; rows without a time get null. Events are first
+    counted by (key, second), before the shuffle as well; each second then meets only the seconds of its own chunk of
+    width_s and of the one before, so that a hot key is spread over time, at most 2 * width_s rows to a window.
     """
+    names = [f"_k{i}" for i in range(len(keys))]
     d = events.withColumn("_s", seconds)
-    w = Window.partitionBy(*keys).orderBy("_s").rangeBetween(-width_s + 1, 0)
-    return d.withColumn(out, F.count("*").over(w)).drop("_s")
+    per = d.where(F.col("_s").isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_s").alias("_at")).agg(F.count("*").alias("_n"))
+    chunk = F.floor(F.col("_at") / width_s)
+    both = per.withColumn("_chunk", F.explode(F.array(chunk, chunk + 1))).withColumn("_own", F.col("_chunk") == chunk)
+    w = Window.partitionBy(*names, "_chunk").orderBy("_at").rangeBetween(-width_s + 1, 0)
+    summed = both.withColumn(out, F.sum("_n").over(w)).where("_own").select(*names, "_at", out)
+    same = F.col("_s") == F.col("_at")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return d.join(summed, same, "left").select(*events.columns, out)
 
 
 def tumbling(events: DataFrame, at: str, width: str, keys: list[str], value: str) -> DataFrame:

@@ -14,16 +14,17 @@ def probits(rows: DataFrame, rank: str, lp: str, server: Column, bins: DataFrame
     """rows with percentile and probit of rank and points on the server's ladder (the default one if it has none).
 
     bins: server, ord, rank, lower_pct, upper_pct (`ranks.ladder`, 31 rows a server: broadcast). cutoffs: server, gm,
-    chall, first. Null for unknown ranks; negative points count as 0.
+    chall, first (`ranks.cutoffs`); a server has its own cut-offs also where its ladder is the default one, and the
+    default ones if it is not listed. Null for unknown ranks; negative points count as 0.
     """
     known = bins.select(F.col("server").alias("_known")).distinct()
-    d = rows.withColumn("_s", server).join(F.broadcast(known), F.col("_s") == F.col("_known"), "left").withColumn("_s", F.coalesce("_known", F.lit("default"))).drop("_known")
+    d = rows.withColumn("_own", F.upper(server)).join(F.broadcast(known), F.col("_own") == F.upper("_known"), "left").withColumn("_s", F.coalesce("_known", F.lit("default"))).drop("_known")
     points = F.greatest(F.coalesce(F.col(lp).cast("double"), F.lit(0.0)), F.lit(0.0))
     if cutoffs is None:
         d = d.withColumns({"_gm": F.lit(R.GRANDMASTER_LP), "_ch": F.lit(R.CHALLENGER_LP), "_first": F.lit(R.FIRST_LP)})
     else:
         c = cutoffs.select(F.col("server").alias("_cs"), F.col("gm").alias("_gm0"), F.col("chall").alias("_ch0"), F.col("first").alias("_f0"))
-        d = d.join(F.broadcast(c), F.col("_s") == F.col("_cs"), "left")
+        d = d.join(F.broadcast(c), F.col("_own") == F.col("_cs"), "left")
         d = d.withColumns({"_gm": F.coalesce("_gm0", F.lit(R.GRANDMASTER_LP)), "_ch": F.coalesce("_ch0", F.lit(R.CHALLENGER_LP)), "_first": F.coalesce("_f0", F.lit(R.FIRST_LP))})
     d = d.withColumn("_lp", points).withColumn("_rank", R.effective_rank(F.col(rank), F.col("_lp"), F.col("_gm"), F.col("_ch")))
     d = d.withColumn("_frac", R.lp_fraction(F.col("_rank"), F.col("_lp"), F.col("_gm"), F.col("_ch"), F.col("_first")))
@@ -33,15 +34,19 @@ def probits(rows: DataFrame, rank: str, lp: str, server: Column, bins: DataFrame
     return d.withColumn("percentile", pct).withColumn("probit", R.normal_quantile(F.col("percentile") / 100)).select(*rows.columns, "percentile", "probit")
 
 
-def skill_labels(participants: DataFrame, ranked: DataFrame, least_mapped: int = 9, want_unique: int = 10) -> DataFrame:
-    """match_id, average_skill_level, mapped_participants, unique_participants of matches with enough of both.
+def server_labels(participants: DataFrame, ranked: DataFrame, bins: DataFrame, cutoffs: DataFrame | None = None, least_mapped: int = 9, want_unique: int = 10) -> DataFrame:
+    """match_id, average_skill_level, mapped_participants, unique_participants, skill_server of matches with enough players.
 
-    participants: match_id, puuid; ranked: puuid, probit, one row for each player.
+    participants: match_id, puuid; ranked: puuid, rank, lp, one row for each player. A player's rank is placed on the
+    ladder and cut-offs of each match's own server, the part of the id before its underscore, so one player may have
+    several values. Null ids count nowhere, repeated rows once.
     """
     own = participants.where(F.col("match_id").isNotNull() & F.col("puuid").isNotNull()).select("match_id", "puuid").distinct()
-    j = own.join(ranked.select("puuid", "probit"), "puuid", "left")
-    g = j.groupBy("match_id").agg(F.avg("probit").alias("average_skill_level"), F.count("probit").alias("mapped_participants"), F.count("*").alias("unique_participants"))
-    return g.where((F.col("unique_participants") >= want_unique) & (F.col("mapped_participants") >= least_mapped))
+    j = own.join(ranked.select("puuid", "rank", "lp"), "puuid", "left").withColumn("skill_server", F.upper(F.substring_index("match_id", "_", 1)))
+    p = probits(j, "rank", "lp", F.col("skill_server"), bins, cutoffs)
+    g = p.groupBy("match_id", "skill_server").agg(F.avg("probit").alias("average_skill_level"), F.count("probit").alias("mapped_participants"), F.count("*").alias("unique_participants"))
+    g = g.where((F.col("unique_participants") >= want_unique) & (F.col("mapped_participants") >= least_mapped))
+    return g.select("match_id", "average_skill_level", "mapped_participants", "unique_participants", "skill_server")
 
 
 def player_counters(edges: DataFrame, keys: list[str], local: Column, windows: dict[str, tuple[float, float]]) -> DataFrame:
@@ -80,17 +85,19 @@ def popularity(edges: DataFrame, group: str, member: str) -> DataFrame:
     return own.join(pop, member).groupBy(group).agg(F.sum("_pop").alias("popularity"))
 
 
-def fixpoint(state: DataFrame, step, ws, most: int = 50) -> DataFrame:
-    """state after applying step (state -> (new state, column-free 'changed' row count)) until nothing changes.
+def fixpoint(state: DataFrame, step, ws, most: int | None = None) -> DataFrame:
+    """state after applying step (state -> (new state, number of changed rows)) until nothing changes.
 
-    Each state is written to the shared folder, which cuts the lineage and survives lost executors.
+    Each state is written to the shared folder, which cuts the lineage and survives lost executors. Where more than
+    `most` steps would be needed (None: as many as it takes), RuntimeError: no unfinished state is given out.
     """
-    now = ws.save(state, "state0")
-    for k in range(most):
+    now, k = ws.save(state, "state0"), 0
+    while True:
         nxt, changed = step(now)
         if changed == 0:
             return now
-        now = ws.save(nxt, f"state{k + 1}")
-        if k:
-            ws.drop(f"state{k - 1}")
-    return now
+        if most is not None and k >= most:
+            raise RuntimeError(f"not finished after {most} steps: {changed} rows still change")
+        now, k = ws.save(nxt, f"state{k + 1}"), k + 1
+        if k > 1:
+            ws.drop(f"state{k - 2}")

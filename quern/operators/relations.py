@@ -69,19 +69,33 @@ def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, prefix: str,
     return out.select(*keys, F.coalesce(*[F.col(f"_v{n}") for n in lengths]).alias(value))
 
 
-def with_row_id(df: DataFrame, order: list, out: str = "row_id", start: int = 0) -> DataFrame:
-    """df with numbers start.. in an order: numbered within range partitions, shifted by the sizes of those before.
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """df in range partitions of an order, numbered by `_part`, written to the shared folder.
 
-    The partitioned rows are written to the shared folder first: range bounds come from samples, so that computing
-    them twice could part the rows differently. No task sees all rows.
+    Range bounds come from samples, so that computing them twice could part the rows differently. Equal rows, however
+    many, are spread as well: what tells them apart is their place in the input.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    kept = Workspace(df.sparkSession, "ranges").save(parts, "rows")
-    sizes = kept.groupBy("_part").agg(F.count("*").alias("_size"))
+    placed = df.withColumn("_tie", F.monotonically_increasing_id())
+    parts = placed.repartitionByRange(*order, F.col("_tie")).withColumn("_part", F.spark_partition_id())
+    return Workspace(df.sparkSession, "ranges").save(parts, "rows")
+
+
+def with_running_total(kept: DataFrame, order: list, amount: Column, out: str) -> DataFrame:
+    """`ranged` rows with the sum of an amount over all rows before them; totals of the partitions shift each one's own."""
+    sizes = kept.groupBy("_part").agg(F.sum(amount).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start
-    return kept.withColumn("_rn", place).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_rn") + F.col("_before")).alias(out))
+    own = F.sum(amount).over(Window.partitionBy("_part").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)) - amount
+    return kept.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before")
+
+
+def with_row_id(df: DataFrame, order: list, out: str = "row_id", start: int = 0) -> DataFrame:
+    """df with numbers start.. in an order: numbered within range partitions, shifted by the sizes of those before.
+
+    No task sees all rows, also where many rows are equal in the order. Rows that tie are numbered in any order.
+    """
+    numbered = with_running_total(ranged(df, order), order, F.lit(1).cast("bigint"), "_before_row")
+    return numbered.select(*df.columns, (F.col("_before_row") + start).alias(out))
 
 
 def shifted_pairs(df: DataFrame, row_id: str, columns: list[str], shifts: list[int]) -> DataFrame:
@@ -164,3 +178,12 @@ def candidate_scores(owners: DataFrame, impact: DataFrame, candidate: str, owner
     g = j.groupBy(candidate).agg(F.sum(score).alias("score"), seen.alias("first_seen"))
     ranked = with_row_id(g, [F.desc("score"), F.asc("first_seen")], "rank", 1)
     return ranked.select(candidate, "score", F.col(f"first_seen.{place}").alias("first_seen"), F.col("rank").cast("int").alias("rank"))
+
+
+def less_group_mean(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """df with value less its group's mean, for groups as few as can be sent to every task: aggregated, then joined.
+
+    Rows of a null group have their own mean.
+    """
+    means = df.groupBy(F.col(group).alias("_g")).agg(F.avg(value).alias("_m"))
+    return df.join(means, F.col(group).eqNullSafe(F.col("_g"))).withColumn(out, F.col(value) - F.col("_m")).drop("_g", "_m")

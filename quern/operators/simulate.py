@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from quern.functions.numeric import logistic
 from quern.functions.ranks import RANKS
 from quern.functions.ranks import normal_quantile
+from quern.functions.subquery import with_row
+from quern.operators import statistics
+from quern.operators.choosing import capped_by_order
+from quern.operators.relations import with_row_id
 from quern.session import Workspace
 
 WIN_LP, LOSS_LP, FULL_LP, DEMOTED_LP = 25.0, 25.0, 100.0, 80.0
+MASTER = RANKS.index("Master")
 TIER_STARTS = tuple(i for i, r in enumerate(RANKS) if r.endswith(" IV"))
 
 
@@ -46,36 +51,68 @@ def initial_state(spark: SparkSession, players: int, seed: int = 1) -> DataFrame
     return d.select("id", "skill", F.lit(12).alias("rank"), F.lit(0.0).alias("lp"), F.lit(0).alias("games"), F.lit(0).alias("streak"))
 
 
-def play_round(state: DataFrame, number: int, team: int = 5, queue_share: float = 0.35, seed: int = 1, block: int = 400) -> DataFrame:
-    """The state after one round: queued players of a rank are shuffled into games of two teams.
+def queue_games(queued: DataFrame, order: list, size: int) -> DataFrame:
+    """queued players with `_game`, `_side` and `_plays`: of each rank in the given order, `size` to a game.
 
-    Players are first spread over blocks of about `block` within their rank, so that no task shuffles a whole crowded
-    rank; the few left over in a block do not play this round.
+    Numbers run through the whole rank, whatever its size, and are given within range partitions; only the fewer than
+    `size` players left at the end of a rank do not play, as in a plain loop over the shuffled rank.
     """
+    by = with_row_id(queued, [F.asc("rank"), *order], "_id")
+    ranks = by.groupBy(F.col("rank").alias("_rank")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    d = by.join(F.broadcast(ranks), F.col("rank") == F.col("_rank")).withColumn("_rn", F.col("_id") - F.col("_first"))
+    d = d.withColumn("_game", F.floor(F.col("_rn") / size)).withColumn("_plays", F.col("_game") < F.floor(F.col("_n") / size)).withColumn("_side", F.pmod("_rn", F.lit(2)))
+    return d.select(*queued.columns, "_game", "_side", "_plays")
+
+
+def play_round(state: DataFrame, number: int, team: int = 5, queue_share: float = 0.35, seed: int = 1) -> DataFrame:
+    """The state after one round: the queued players of each rank are shuffled into games of two teams."""
     q = state.withColumn("_u", _uniform(F.lit(seed), F.lit(number), F.col("id"))).withColumn("_in", F.col("_u") < queue_share)
-    ranks = q.where("_in").groupBy("rank").agg(F.greatest(F.lit(1), F.floor(F.count("*") / block)).alias("_blocks"))
-    own = F.pmod(F.xxhash64(F.lit(seed + 7), F.lit(number), F.col("id")), F.col("_blocks"))
-    w = Window.partitionBy("rank", "_block")
-    inside = q.where("_in").join(F.broadcast(ranks), "rank").withColumn("_block", own).withColumn("_rn", F.row_number().over(w.orderBy("_u", "id")) - 1).withColumn("_n", F.count("*").over(w))
-    size = 2 * team
-    inside = inside.withColumn("_game", F.floor(F.col("_rn") / size)).withColumn("_plays", F.col("_game") < F.floor(F.col("_n") / size)).withColumn("_side", F.pmod("_rn", F.lit(2)))
-    g = Window.partitionBy("rank", "_block", "_game")
+    inside = queue_games(q.where("_in"), [F.asc("_u"), F.asc("id")], 2 * team)
+    g = Window.partitionBy("rank", "_game")
     gap = F.avg(F.when(F.col("_side") == 0, F.col("skill"))).over(g) - F.avg(F.when(F.col("_side") == 1, F.col("skill"))).over(g)
-    first = _uniform(F.lit(seed + 13), F.lit(number), F.col("rank"), F.col("_block"), F.col("_game")) < logistic(gap)
+    first = _uniform(F.lit(seed + 13), F.lit(number), F.col("rank"), F.col("_game")) < logistic(gap)
     d = inside.withColumn("_won", F.when(F.col("_side") == 0, first).otherwise(~first))
     r, lp, s = transition(F.col("rank"), F.col("lp"), F.col("streak"), F.col("_won"))
     moved = d.select("id", "skill", *[F.when(F.col("_plays"), new).otherwise(F.col(old)).alias(old) for old, new in (("rank", r), ("lp", lp))], (F.col("games") + F.col("_plays").cast("int")).alias("games"), F.when(F.col("_plays"), s).otherwise(F.col("streak")).alias("streak"))
     return q.where("not _in").select(*state.columns).unionByName(moved.select(*state.columns))
 
 
-def simulate(state: DataFrame, rounds: int, ws: Workspace, every: int = 4, **options) -> DataFrame:
-    """The state after some rounds; it is written to the shared folder every few rounds, which cuts the lineage."""
+def apex_capped(state: DataFrame, challenger_cap: int, grandmaster_cap: int) -> DataFrame:
+    """The state with the upper ranks dealt out anew: of all players from Master on, those with most points (then most
+    games, then the smallest id) are Challenger up to its cap, the next GrandMaster up to its cap, the rest Master."""
+    order = [F.desc("lp"), F.desc("games"), F.asc("id")]
+    top = capped_by_order(state.where(F.col("rank") >= MASTER), order, [(MASTER + 2, challenger_cap), (MASTER + 1, grandmaster_cap)], MASTER, "_rank")
+    top = top.withColumn("rank", F.col("_rank").cast("int")).drop("_rank")
+    return state.where(F.col("rank") < MASTER).unionByName(top.select(*state.columns))
+
+
+def simulate(state: DataFrame, rounds: int, ws: Workspace, every: int = 4, caps: tuple[int, int] | None = None, **options) -> DataFrame:
+    """The state after some rounds; it is written to the shared folder every few rounds, which cuts the lineage.
+
+    caps: places for Challenger and GrandMaster, dealt out after every round; None leaves the ranks as played.
+    """
     last = None
     for k in range(rounds):
         state = play_round(state, k, **options)
+        if caps is not None:
+            state = apex_capped(state, *caps)
         if (k + 1) % every == 0 or k == rounds - 1:
             state = ws.save(state, f"round{k}")
             if last is not None:
                 ws.drop(f"round{last}")
             last = k
     return state
+
+
+def skill_map(state: DataFrame, points=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """rank, n, mean, sd, p10.. of the players' skill, and skill_percentile: the share of all players, in percent, whose
+    skill is at most the rank's median. Ranks without players have no row."""
+    q = statistics.quantile_profile(state, ["rank"], "skill", points)
+    # Players are counted once, by the number of medians below their skill; there are no more medians than ranks.
+    medians = q.agg(F.sort_array(F.collect_list("p50")).alias("_ms"))
+    counts = with_row(state.select("skill"), medians).groupBy(F.size(F.filter("_ms", lambda m: m < F.col("skill"))).alias("_b")).agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.map_from_entries(F.collect_list(F.struct("_b", "_n"))).alias("_counts"), F.sum("_n").alias("_all"))
+    wide = with_row(with_row(q, medians), totals)
+    place = F.array_position("_ms", F.col("p50")) - 1
+    below = F.aggregate(F.map_entries("_counts"), F.lit(0).cast("bigint"), lambda s, e: s + F.when(e["key"] <= place, e["value"]).otherwise(0))
+    return wide.select(*q.columns, (100.0 * below / F.col("_all")).alias("skill_percentile"))

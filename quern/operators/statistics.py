@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.subquery import with_row
+from quern.operators.quantiles import quantiles
 
 
 def status_pivot(df: DataFrame, key: str, status: str, values: list[str]) -> DataFrame:
@@ -38,9 +39,14 @@ def mode_by_order(df: DataFrame, keys: list[str], value: str, order: Column, def
 
 def quantile_profile(df: DataFrame, keys: list[str], value: str, points=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """n, mean, population deviation and exact linear quantiles p10.. of each group."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), *[F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in points]
-    )
+    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    q = quantiles(df, keys, value, list(points), "_q")
+    if keys:
+        q = q.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_q")
+        g = g.join(q, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]), "left")
+    else:
+        g = with_row(g, q)
+    return g.select(*keys, "n", "mean", "sd", *[F.get("_q", F.lit(i)).alias(f"p{round(p * 100)}") for i, p in enumerate(points)])
 
 
 def shares(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,7 +66,7 @@ def fit_metrics(df: DataFrame, actual: str, target: str) -> DataFrame:
 def regression_profile(df: DataFrame, truth: str, predicted: str, within=(0.25, 0.5)) -> DataFrame:
     """One row: n, rmse, mae, r2, corr, slope and intercept of truth on prediction, absolute error quantiles, shares within."""
     e = F.col(truth) - F.col(predicted)
-    return df.agg(
+    one = df.agg(
         F.count("*").alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
@@ -68,9 +74,11 @@ def regression_profile(df: DataFrame, truth: str, predicted: str, within=(0.25,
         F.corr(truth, predicted).alias("corr"),
         F.regr_slope(truth, predicted).alias("slope"),
         F.regr_intercept(truth, predicted).alias("intercept"),
-        *[F.percentile(F.abs(e), F.lit(p)).alias(f"abs_p{round(p * 100)}") for p in (0.5, 0.9, 0.95)],
         *[F.avg((F.abs(e) <= w).cast("double")).alias(f"within_{w}".replace(".", "_")) for w in within],
     )
+    points = (0.5, 0.9, 0.95)
+    wide = with_row(one, quantiles(df.select(F.abs(e).alias("_e")), [], "_e", list(points), "_q"))
+    return wide.select(*one.columns, *[F.get("_q", F.lit(i)).alias(f"abs_p{round(p * 100)}") for i, p in enumerate(points)])
 
 
 def calibration(df: DataFrame, bin_column: str, truth: str, predicted: str) -> DataFrame:

@@ -33,14 +33,19 @@ def draw(seed: int, space: dict = SPACE) -> dict:
 
 
 def unique_trials(n: int, seed: int, space: dict = SPACE, seen: set[str] | None = None) -> list[dict]:
-    """n trials with new signatures; draws that repeat one are listed as duplicates, as a log would."""
-    seen, out, k, done = set(seen or ()), [], 0, 0
-    while done < n and k < 50 * n:
+    """n trials with new signatures; draws that repeat one are listed as duplicates, as a log would.
+
+    ValueError where 1,000 draws in a row bring nothing new: the space is used up.
+    """
+    seen, out, k, done, since = set(seen or ()), [], 0, 0, 0
+    while done < n:
+        if since > 1000:
+            raise ValueError(f"the space has only {done} new trials of the {n} asked for, or next to no more")
         params = draw(seed + k, space)
         sig = signature(params)
         fresh = sig not in seen
         out.append({"trial_id": k, "trial_seed": seed + k, "signature": sig, "outcome": "completed" if fresh else "duplicate_skipped", "params": params})
-        done, k = done + fresh, k + 1
+        done, k, since = done + fresh, k + 1, 0 if fresh else since + 1
         seen.add(sig)
     return out
 

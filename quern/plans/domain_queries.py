@@ -8,9 +8,11 @@ from quern.functions import ranks as R
 from quern.functions.clock import clock_hour, local_time, zone_of
 from quern.functions.ids import clean_match_id, clean_player
 from quern.functions.oracle_text import epoch_ms_sql, match_id_sql, normal_quantile_sql, player_sql
+from quern.functions.subquery import with_row
 from quern.functions.text import prefix_or_whole
 from quern.operators import audit, choosing, labels, nested, relations, statistics
 from quern.operators.features import MATCH_SCHEMA, drop_reason, match_features
+from quern.operators.quantiles import quantiles
 from quern.operators.sessions import usable_match_times
 from quern.plans.registry import Registry
 from quern.plans.window_queries import _BINS
@@ -18,32 +20,34 @@ from quern.plans.window_queries import _BINS
 R_ = Registry()
 QUERIES, ORACLES = R_.queries, R_.sql
 
+_CUTOFFS = "cut(server, gm, ch, top) as (values " + ", ".join(f"('{s}', {g}::double, {c}::double, {t}::double)" for s, (g, c, t) in R.SERVER_CUTOFFS.items()) + ")"
 _RANKED = f"""
 s as (select {player_sql('puuid')} p, upper(trim(solo_tier)) t, upper(trim(solo_rank)) d, greatest(coalesce(solo_lp, 0), 0)::double lp, coalesce(fetched_at_utc, -1) at_s from player_ranks),
 n as (select *, case t when 'MASTER' then 'Master' when 'GRANDMASTER' then 'GrandMaster' when 'CHALLENGER' then 'Challenger' else case when t in ('IRON','BRONZE','SILVER','GOLD','PLATINUM','EMERALD','DIAMOND') and d in ('IV','III','II','I') then upper(t[1]) || lower(t[2:]) || ' ' || d end end rank from s where p is not null),
-k as (select * from n where rank is not null qualify row_number() over (partition by p order by at_s desc, rank desc, lp desc) = 1),
-e as (select p, lp, case when rank = 'Master' and lp >= 1000 then 'GrandMaster' when rank = 'GrandMaster' and lp >= 1250 then 'Challenger' else rank end eff from k),
-f as (select p, eff, case eff when 'Master' then lp / 1000 when 'GrandMaster' then (lp - 1000) / 250 when 'Challenger' then (lp - 1250) / 1150 else lp / 100 end raw from e),
-z as (select p, least(greatest(lo + least(greatest(raw, 0), 1) * (up - lo), 0.01), 99.99) / 100 q from f join lad on lad.rank = eff)"""
+k as (select p, rank, lp from n where rank is not null qualify row_number() over (partition by p order by at_s desc, rank desc, lp desc) = 1),
+mp as (select distinct match_id m, {player_sql('puuid')} p, upper(split_part(match_id, '_', 1)) sv from match_participants where match_id is not null),
+w as (select m, mp.p, sv, rank, lp, coalesce(gm, 1000) gm, coalesce(ch, 1250) ch, coalesce(top, 2400) top from mp left join k using (p) left join cut on sv = server where mp.p is not null),
+e as (select *, case when rank = 'Master' and lp >= gm then 'GrandMaster' when rank = 'GrandMaster' and lp >= ch then 'Challenger' else rank end eff from w),
+f as (select *, case eff when 'Master' then lp / gm when 'GrandMaster' then (lp - gm) / (ch - gm) when 'Challenger' then (lp - ch) / (top - ch) else lp / 100 end raw from e),
+z as (select m, sv, least(greatest(lo + least(greatest(raw, 0), 1) * (up - lo), 0.01), 99.99) / 100 q from f left join lad on lad.rank = eff)"""
 
 
-def _players(t):
-    """The last known rank of each player with its probit."""
+def _last_ranks(t):
+    """The last known rank of each player."""
     r = t.player_ranks.select(
         clean_player(F.col("puuid")).alias("puuid"), R.rank_name(F.col("solo_tier"), F.col("solo_rank")).alias("rank"), F.greatest(F.coalesce("solo_lp", F.lit(0)), F.lit(0)).cast("double").alias("lp"), F.coalesce("fetched_at_utc", F.lit(-1)).alias("at_s")
     )
-    last = choosing.last_wins(r.where(F.col("puuid").isNotNull() & F.col("rank").isNotNull()), ["puuid"], [F.col("at_s"), F.col("rank"), F.col("lp")])
-    return labels.probits(last, "rank", "lp", F.lit("default"), R.ladder(t.spark))
+    return choosing.last_wins(r.where(F.col("puuid").isNotNull() & F.col("rank").isNotNull()), ["puuid"], [F.col("at_s"), F.col("rank"), F.col("lp")])
 
 
 @R_.add(f"""
-with {_BINS}, {_RANKED}, y as (select p, {normal_quantile_sql('q')} z from z),
-m as (select distinct match_id m, {player_sql('puuid')} p from match_participants where match_id is not null),
-g as (select m, avg(z) a, count(z) mapped, count(*) n from m left join y using (p) where p is not null group by 1)
-select m match_id, round(a, 8) average_skill_level, mapped mapped_participants, n unique_participants from g where n >= 10 and mapped >= 9""")
+with {_BINS}, {_CUTOFFS}, {_RANKED}, y as (select m, sv, case when q is not null then {normal_quantile_sql('q')} end z from z),
+g as (select m, sv, avg(z) a, count(z) mapped, count(*) n from y group by 1, 2)
+select m match_id, round(a, 8) average_skill_level, mapped mapped_participants, n unique_participants, sv skill_server from g where n >= 10 and mapped >= 9""")
 def r_match_labels(t):
+    """Labels of all matches, each on its own server's cut-offs; ladders other than the default are a parameter."""
     m = t.match_participants.select("match_id", clean_player(F.col("puuid")).alias("puuid"))
-    s = labels.skill_labels(m, _players(t))
+    s = labels.server_labels(m, _last_ranks(t), R.ladder(t.spark), R.cutoffs(t.spark))
     return s.withColumn("average_skill_level", F.round("average_skill_level", 8))
 
 
@@ -86,7 +90,9 @@ def a_joined_summary(t):
     x = t.match_table_v1.groupBy("match_id").agg(F.max("game_duration_sec").alias("d"))
     y = t.skill_targets.groupBy("match_id").agg(F.max("average_skill_level").alias("y"))
     j = relations.inner_on(x, y, ["match_id"])
-    return j.agg(F.count("*").alias("n"), *[F.round(f("y"), 8).alias(n) for n, f in (("mean", F.avg), ("low", F.min), ("high", F.max))], F.round(F.percentile("y", F.lit(0.9)), 8).alias("p90"))
+    g = j.agg(F.count("*").alias("n"), *[F.round(f("y"), 8).alias(n) for n, f in (("mean", F.avg), ("low", F.min), ("high", F.max))])
+    wide = with_row(g, quantiles(j, [], "y", [0.9], "q"))
+    return wide.select(*g.columns, F.round(F.get("q", F.lit(0)), 8).alias("p90"))
 
 
 @R_.add("""
@@ -98,14 +104,13 @@ def a_rollup(t):
 
 
 @R_.add("""
-with imp as (select s_suppkey o, round(s_acctbal)::bigint sc, row_number() over (order by s_acctbal desc, s_suppkey) pl from supplier where s_suppkey % 3 = 0),
+with imp as (select s_suppkey o, round(s_acctbal)::bigint sc, row_number() over (order by s_acctbal desc, s_suppkey) pl from supplier),
 own as (select distinct l_partkey c, l_suppkey o, l_partkey % 17 r from lineitem),
 g as (select c, sum(sc)::bigint score, min(pl) first_seen, min((pl, -r, c)) k from own join imp using (o) group by 1)
 select c l_partkey, score, first_seen, row_number() over (order by score desc, k)::int rank from g""")
 def w_candidate_scores(t):
-    from pyspark.sql import Window
-
-    imp = t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.round("s_acctbal").cast("bigint").alias("sc"), F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("pl"))
+    imp = relations.with_row_id(t.supplier, [F.desc("s_acctbal"), F.asc("s_suppkey")], "pl", 1)
+    imp = imp.select(F.col("s_suppkey").alias("l_suppkey"), F.round("s_acctbal").cast("bigint").alias("sc"), F.col("pl").cast("int").alias("pl"))
     own = t.lineitem.select("l_partkey", "l_suppkey", (F.col("l_partkey") % 17).alias("r"))
     return relations.candidate_scores(own, imp, "l_partkey", "l_suppkey", "sc", "pl", "r")
 

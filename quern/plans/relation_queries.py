@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import bins
 from quern.functions.subquery import with_row
 from quern.operators import audit, features, labels, relations, statistics
+from quern.operators.quantiles import quantiles
 from quern.plans.registry import Registry
 
 R_ = Registry()
@@ -177,7 +178,7 @@ def j_correlated_count(t):
 with e as (select quantile_cont(c_acctbal, [0.1, 0.3, 0.6, 0.85]) edges from customer)
 select least(len(list_filter(edges, lambda x: x < c_acctbal)), 4)::int bin, count(*) n from customer, e group by 1""")
 def j_bin_range(t):
-    e = t.customer.agg(F.percentile("c_acctbal", F.array(*[F.lit(x) for x in (0.1, 0.3, 0.6, 0.85)])).alias("edges"))
+    e = quantiles(t.customer, [], "c_acctbal", [0.1, 0.3, 0.6, 0.85], "edges")
     return with_row(t.customer, e).groupBy(bins.bin_before(F.col("c_acctbal"), F.col("edges"), 5).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -295,10 +296,10 @@ def a_calibration_bins(t):
 
 
 @R_.add("""
-with f as (select p_brand, p_partkey % 5 fold, avg(p_retailprice) m from part where p_size > 30 group by 1, 2)
+with f as (select p_brand, p_partkey % 5 fold, avg(p_retailprice) m from part group by 1, 2)
 select p_brand, round(avg(m), 4) mean, round(stddev_samp(m), 4) sd from f group by 1 having count(distinct fold) = 5""")
 def a_cv_complete_groups(t):
-    f = t.part.where("p_size > 30").groupBy("p_brand", (F.col("p_partkey") % 5).alias("fold")).agg(F.avg("p_retailprice").alias("m"))
+    f = t.part.groupBy("p_brand", (F.col("p_partkey") % 5).alias("fold")).agg(F.avg("p_retailprice").alias("m"))
     return statistics.complete_groups(f, ["p_brand"], "fold", 5, "m").select("p_brand", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
@@ -307,7 +308,7 @@ with m as (select *, avg(value) over (partition by event_type) p from events),
 g as (select avg(value) filter (hour(ts) < 8) - avg(value) filter (hour(ts) >= 8) r, avg(value - p) filter (hour(ts) < 8) - avg(value - p) filter (hour(ts) >= 8) l from m)
 select round(r, 8) raw_gap, round(l, 8) left_gap, round(case when abs(r) > 1e-12 then 1 - abs(l) / abs(r) end, 6) explained from g""")
 def a_gap_explained(t):
-    m = t.events.withColumn("left", F.col("value") - F.avg("value").over(Window.partitionBy("event_type")))
+    m = relations.less_group_mean(t.events, "event_type", "value", "left")
     g = statistics.explained_gap(m, F.hour("ts") < 8, "value", "left")
     return g.select(F.round("raw_gap", 8).alias("raw_gap"), F.round("left_gap", 8).alias("left_gap"), F.round("explained", 6).alias("explained"))
 

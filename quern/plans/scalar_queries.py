@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, bins, clock, hashing, numeric, text
@@ -270,8 +269,7 @@ def p_isclose_round(t):
 with x as (select *, value - avg(value) over (partition by event_type) d from events)
 select event_id, round(1 / (1 + exp(-d / 25)), 9) p, case when value < 20 then 0.1 when value < 60 then 0.5 else 1.0 end step from x""")
 def p_logistic_step(t):
-    d = F.col("value") - F.avg("value").over(Window.partitionBy("event_type"))
-    return t.events.withColumn("d", d).select("event_id", F.round(numeric.logistic(F.col("d") / 25), 9).alias("p"), numeric.step_table(F.col("value"), [(20, 0.1), (60, 0.5)], 1.0).alias("step"))
+    return relations.less_group_mean(t.events, "event_type", "value", "d").select("event_id", F.round(numeric.logistic(F.col("d") / 25), 9).alias("p"), numeric.step_table(F.col("value"), [(20, 0.1), (60, 0.5)], 1.0).alias("step"))
 
 
 @R_.add("""

@@ -72,14 +72,14 @@ def w_last_wins(t):
 
 
 @R_.add("""
-with e as (select distinct l_suppkey p, l_orderkey m from lineitem where l_orderkey % 20 = 0 and l_quantity >= 0), k as (select l_suppkey p, count(*) filter (l_returnflag = 'R') covered from lineitem where l_orderkey % 20 = 0 group by 1),
-pm as (select m, count(*) filter (covered >= 12) c from e join k using (p) group by 1),
-g as (select p, max(c) best_partial, count(*) filter (c >= 3) near, count(*) incomplete, 12 - first(covered) deficit from e join pm using (m) join k using (p) where c < 10 and covered < 12 group by 1)
+with e as (select distinct l_suppkey p, l_orderkey m from lineitem), k as (select l_suppkey p, count(*) filter (l_returnflag = 'R') covered from lineitem group by 1),
+pm as (select m, count(*) filter (covered >= 200) c from e join k using (p) group by 1),
+g as (select p, max(c) best_partial, count(*) filter (c >= 3) near, count(*) incomplete, 200 - first(covered) deficit from e join pm using (m) join k using (p) where c < 10 and covered < 200 group by 1)
 select p l_suppkey, best_partial, near, incomplete, deficit, row_number() over (order by best_partial desc, near desc, incomplete desc, deficit, p)::int place from g""")
 def w_priority_rank(t):
-    e = t.lineitem.where("l_orderkey % 20 = 0")
-    players, per, _ = labels.coverage(e, "l_suppkey", "l_orderkey", F.col("l_returnflag") == "R", 12)
-    return labels.priorities(e, "l_suppkey", "l_orderkey", players, per, 12, 10, 3)
+    e = t.lineitem
+    players, per, _ = labels.coverage(e, "l_suppkey", "l_orderkey", F.col("l_returnflag") == "R", 200)
+    return labels.priorities(e, "l_suppkey", "l_orderkey", players, per, 200, 10, 3)
 
 
 @R_.add("""
@@ -288,7 +288,7 @@ def sim_transition(t):
 @R_.add()
 def sim_ladder(t):
     """Players, mean skill and points by rank after eight rounds, as many players as customers."""
-    s = simulate.simulate(simulate.initial_state(t.spark, t.customer.count()), 8, Workspace(t.spark, "ladder"))
+    s = simulate.simulate(simulate.initial_state(t.spark, t.customer.count()), 8, Workspace(t.spark, "ladder"), caps=(30, 70))
     return s.groupBy("rank").agg(F.count("*").alias("players"), F.round(F.avg("skill"), 6).alias("skill"), F.round(F.avg("lp"), 6).alias("lp"))
 
 

@@ -94,14 +94,18 @@ def union_snapshot(snapshots: list[DataFrame], keys: list[str], at: Column | Non
 
 
 class PageSource(DataSource):
-    """Pages of JSON rows behind a `start`/`count` interface, here from files <path>/<start>.json; option `total`."""
+    """Pages of JSON rows behind a `start`/`count` interface, here from files <path>/<start>.json; option `total`.
+
+    path is a folder or a URI of any file system that pyarrow reads (hdfs, s3, gs, file), seen by all executors.
+    A page that cannot be opened or read gives one row with a null row and its error, never nothing.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "paged_json"
 
     def schema(self) -> str:
-        return "start int, row string"
+        return "start int, row string, error string"
 
     def reader(self, schema) -> PageReader:
         return PageReader(self.options)
@@ -115,10 +119,17 @@ class PageReader(DataSourceReader):
         return [InputPartition(s) for s in range(0, self.total, self.count)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        from pyarrow import fs
+
         try:
-            with open(f"{self.path}/{partition.value}.json") as f:
-                rows = json.load(f)
-        except (OSError, ValueError):
-            rows = []
+            at = f"{self.path}/{partition.value}.json"
+            system, path = fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at)
+            with system.open_input_stream(path) as f:
+                rows = json.loads(f.read())
+            if not isinstance(rows, list):
+                raise ValueError("a page must be an array")
+        except (OSError, ValueError) as e:
+            yield partition.value, None, str(e)[:400]
+            return
         for r in rows:
-            yield partition.value, json.dumps(r, sort_keys=True)
+            yield partition.value, json.dumps(r, sort_keys=True), None
