@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ NODE_SCHEMA = (
     "kind string, role string, hash binary, fields map<string,string>, "
     "parts array<struct<field:string,ordinal:int,child:binary,value:string>>, record_id bigint, doc_no int, context string"
 )
-MAX_DEPTH = 200
+#: Stack of the walk through one document; the walk is plain Python, so that this is no limit of the C stack.
+DEEPEST = 1_000_000
 
 
 def _text(s: str) -> str:
@@ -59,31 +61,39 @@ def _as_list(v):
     return None
 
 
-def documents_in(value, root_key: str, depth: int = 0) -> Iterator[dict]:
-    """Objects that have an object under root_key, however wrapped: in arrays, objects or JSON within text."""
-    if depth > MAX_DEPTH:
-        return
-    if isinstance(value, str):
-        t = value.strip().lstrip("﻿").lstrip()
-        if t[:1] in ("{", "[", '"'):
-            try:
-                inner = json.loads(t)
-            except (ValueError, RecursionError):
-                return
-            yield from documents_in(inner, root_key, depth + 1)
-    elif isinstance(value, list):
-        for x in value:
-            yield from documents_in(x, root_key, depth + 1)
-    elif isinstance(value, dict):
-        if isinstance(value.get(root_key), dict):
-            yield value
-        else:
-            for x in value.values():
-                yield from documents_in(x, root_key, depth + 1)
+def documents_in(value, root_key: str) -> Iterator[dict]:
+    """Objects that have an object under root_key, however deep they are wrapped: in arrays, objects or JSON within text.
+
+    RecursionError where text within is nested deeper than the JSON parser goes; other unreadable text holds none.
+    """
+    stack = [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            t = x.strip().lstrip("\ufeff").lstrip()
+            if t[:1] in ("{", "[", '"'):
+                try:
+                    stack.append(json.loads(t, parse_float=_number))
+                except ValueError:
+                    continue
+        elif isinstance(x, list):
+            stack += reversed(x)
+        elif isinstance(x, dict):
+            if isinstance(x.get(root_key), dict):
+                yield x
+            else:
+                stack += reversed(x.values())
+
+
+def _number(s: str) -> int | float:
+    """A JSON number with a point or exponent; whole ones as integers, so that 1.0 is 1."""
+    x = float(s)
+    return int(x) if x.is_integer() and abs(x) < 1e15 else x
 
 
 def _arrays(v):
-    """A value with arrays for those spelled as objects."""
+    """A value with arrays for those spelled as objects; of any depth the parser reads."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
     items = _as_list(v)
     if items is not None:
         return [_arrays(x) for x in items]
@@ -111,30 +121,52 @@ def unwrapped(records: DataFrame, payload_column: str, root_key: str = "info") -
 
 
 class _Shredder:
-    """Collects nodes of one Arrow batch; what was emitted lately is not emitted again."""
+    """Collects nodes of one Arrow batch by column; what was emitted lately is not emitted again."""
 
     def __init__(self, remember: int = 200_000):
-        self.seen: set[tuple[str, bytes]] = set()
+        self.seen: set[bytes] = set()
         self.remember = remember
-        self.rows: list[tuple] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.kind: list = []
+        self.role: list = []
+        self.hash: list = []
+        self.record: list = []
+        self.doc_no: list = []
+        self.context: list = []
+        self.keys: list = []
+        self.values: list = []
+        self.field_ends: list = [0]
+        self.parts: tuple[list, list, list, list] = ([], [], [], [])
+        self.part_ends: list = [0]
 
     def put(self, obj: dict, role: str) -> bytes:
-        fields: list = []
+        keys: list = []
+        values: list = []
         parts: list = []
         for name in sorted(obj):
             v = obj[name]
-            key = name if name.isascii() else _text(name)
-            if not isinstance(v, (dict, list)):
-                fields.append((key, _scalar(v)))
-                continue
-            items = _as_list(v)
-            if items is None:
-                parts.append((key, None, self.put(v, f"{role}.{key}"), None))
-            elif not items:
-                fields.append((key, "[]"))
+            kind = v.__class__
+            if kind is dict or kind is list:
+                name = name if name.isascii() else _text(name)
+                items = _as_list(v)
+                if items is None:
+                    parts.append((name, None, self.put(v, f"{role}.{name}"), None))
+                    continue
+                if items:
+                    self.array(parts, name, items, f"{role}.{name}")
+                    continue
+                v = "[]"
+            elif kind is int:
+                v = f"n{v}"
+            elif kind is str and v.isascii():
+                v = f"s{v}"
             else:
-                self.array(parts, key, items, f"{role}.{key}")
-        return self.emit(role, fields, parts)
+                v = _scalar(v)
+            keys.append(name if name.isascii() else _text(name))
+            values.append(v)
+        return self.emit(role, keys, values, parts)
 
     def array(self, parts: list, key: str, items: list, role: str) -> None:
         for i, x in enumerate(items):
@@ -142,62 +174,77 @@ class _Shredder:
             if inner is not None:
                 own: list = []
                 self.array(own, "", inner, f"{role}.")
-                parts.append((key, i, self.emit(f"{role}.", [], own), None))
+                parts.append((key, i, self.emit(f"{role}.", [], [], own), None))
             elif isinstance(x, dict):
                 parts.append((key, i, self.put(x, role), None))
             else:
                 parts.append((key, i, None, _scalar(x)))
 
-    def emit(self, role: str, fields: list, parts: list) -> bytes:
-        h = hashlib.blake2b(repr((fields, parts)).encode("utf-8", "replace"), digest_size=16).digest()
-        if (role, h) not in self.seen:
+    def emit(self, role: str, keys: list, values: list, parts: list) -> bytes:
+        # Joined by U+0000, with U+0001 between the sections, which is the quicker form, where no text holds those signs;
+        # the two forms differ in their first letter, and repr writes neither sign.
+        text = "\0".join(keys) + "\1" + "\0".join(values)
+        if text.count("\0") == 2 * max(len(keys) - 1, 0) and text.count("\1") == 1:
+            text = f"j{text}\1{parts!r}" if parts else "j" + text
+        else:
+            text = f"r{(keys, values, parts)!r}"
+        h = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+        known = role.encode("utf-8", "replace") + h
+        if known not in self.seen:
             if len(self.seen) >= self.remember:
                 self.seen.clear()
-            self.seen.add((role, h))
-            self.rows.append(("object", role, h, fields, parts, None, None, None))
+            self.seen.add(known)
+            self.keys += keys
+            self.values += values
+            for field, ordinal, child, value in parts:
+                self.parts[0].append(field)
+                self.parts[1].append(ordinal)
+                self.parts[2].append(child)
+                self.parts[3].append(value)
+            self.row("object", role, h)
         return h
 
-
-def _shred_batches(root_key: str):
-    def run(batches):
+    def row(self, kind: str, role: str, h: bytes | None, record=None, doc_no=None, context=None) -> None:
+        self.kind.append(kind)
+        self.role.append(role)
+        self.hash.append(h)
+        self.record.append(record)
+        self.doc_no.append(doc_no)
+        self.context.append(context)
+        self.field_ends.append(len(self.keys))
+        self.part_ends.append(len(self.parts[0]))
+
+    def batch(self):
+        """The rows since the last batch, as Arrow."""
         import pyarrow as pa
 
-        part = pa.struct([("field", pa.string()), ("ordinal", pa.int32()), ("child", pa.binary()), ("value", pa.string())])
-        schema = pa.schema(
-            [
-                ("kind", pa.string()),
-                ("role", pa.string()),
-                ("hash", pa.binary()),
-                ("fields", pa.map_(pa.string(), pa.string())),
-                ("parts", pa.list_(part)),
-                ("record_id", pa.int64()),
-                ("doc_no", pa.int32()),
-                ("context", pa.string()),
-            ]
-        )
-        s = _Shredder()
+        fields = pa.MapArray.from_arrays(pa.array(self.field_ends, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.string())
+        inner = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(self.parts, kinds)], names=["field", "ordinal", "child", "value"])
+        parts = pa.ListArray.from_arrays(pa.array(self.part_ends, pa.int32()), inner)
+        columns = [pa.array(self.kind, pa.string()), pa.array(self.role, pa.string()), pa.array(self.hash, pa.binary()), fields, parts]
+        columns += [pa.array(self.record, pa.int64()), pa.array(self.doc_no, pa.int32()), pa.array(self.context, pa.string())]
+        self.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "role", "hash", "fields", "parts", "record_id", "doc_no", "context"])
 
-        def flush():
-            columns = list(zip(*s.rows)) or [()] * len(schema)
-            parts = [[dict(zip(("field", "ordinal", "child", "value"), p)) for p in x] if x else [] for x in columns[4]]
-            arrays = [pa.array(parts if i == 4 else list(c), type=f.type) for i, (c, f) in enumerate(zip(columns, schema))]
-            s.rows = []
-            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+def _shred_batches(root_key: str):
+    def run(batches):
+        sys.setrecursionlimit(DEEPEST)
+        s = _Shredder()
         for b in batches:
             for record_id, payload, context in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 text = payload.as_py()
                 if text is None:
                     continue
-                for n, doc in enumerate(documents_in(text, root_key)):
-                    try:
-                        h = s.put(doc, "$")
-                    except RecursionError:
-                        continue
-                    s.rows.append(("root", "$", h, [], [], record_id, n, context))
-                if len(s.rows) >= 4000:
-                    yield flush()
-            yield flush()
+                try:
+                    for n, doc in enumerate(documents_in(text, root_key)):
+                        s.row("root", "$", s.put(doc, "$"), record_id, n, context)
+                except RecursionError:
+                    s.row("unreadable", "", None, record_id, None, context)
+                if len(s.kind) >= 4000:
+                    yield s.batch()
+            yield s.batch()
 
     return run
 
@@ -209,7 +256,8 @@ def shred(records: DataFrame, id_column: str, payload_column: str, context_colum
     occurrence. kind 'object': role (path of field names from '$', positions left out), hash, scalar fields and parts
     (field, ordinal within its array, child hash or scalar value). Null, empty and unreadable payloads, and values
     without an object under root_key, give no rows. Objects may come more than once from different tasks until
-    `objects` removes repeats. Nesting deeper than the interpreter allows counts as unreadable.
+    `objects` removes repeats. kind 'unreadable': a record with text nested deeper than the JSON parser can go; what
+    was read of it before holds.
     """
     rows = records.select(F.col(id_column).cast("bigint"), F.col(payload_column).cast("string"), F.col(context_column).cast("string"))
     return spread(rows).mapInArrow(_shred_batches(root_key), NODE_SCHEMA)
@@ -266,7 +314,8 @@ def match_children(nodes: DataFrame) -> DataFrame:
 
     def table(role: str, *cols):
         own = nodes.where((F.col("kind") == "object") & (F.col("role") == role))
-        return own.select(F.col("hash").alias("_h"), *cols).dropDuplicates(["_h"])
+        # Equal hashes have equal columns, so whole rows are made distinct: by hashing, without a sort.
+        return own.select(F.col("hash").alias("_h"), *cols).distinct()
 
     top = table("$", child("metadata").alias("meta"), child("info").alias("info"))
     meta = table("$.metadata", F.nullif(strip_space(scalar("matchId")), F.lit("")).alias("meta_id"))

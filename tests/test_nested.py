@@ -62,11 +62,33 @@ def test_field_order_and_whole_floats_do_not_matter(spark):
     assert len({bytes(r["hash"]) for r in roots(n).collect()}) == 1
 
 
-def test_depth_is_bounded():
+def test_any_depth_of_wrapping():
     x = {"info": {}}
     for _ in range(500):
         x = {"w": x}
-    assert list(documents_in(x, "info")) == []
+    assert list(documents_in(x, "info")) == [{"info": {}}]
+    for k in range(20):
+        x = json.dumps(x) if k % 5 == 0 else [[x]]
+    assert list(documents_in(x, "info")) == [{"info": {}}]
+
+
+def test_deep_documents_and_those_too_deep(spark):
+    inner: object = 1
+    for _ in range(600):
+        inner = {"d": inner}
+    deep = json.dumps({"metadata": {"matchId": "KR_0000000005"}, "info": {"gameVersion": "1.2.3", "x": inner, "participants": [{"puuid": "p"}]}})
+    too_deep = '{"info": {"x": ' + "[" * 200_000 + "]" * 200_000 + "}}"
+    n = nodes(spark, [deep, too_deep, None, "{broken"]).persist()
+    assert rows(match_children(n)) == [("KR_0000000005", "1.2", 0, "participant", 0, "p")]
+    assert rows(n.where("kind = 'unreadable'").select("record_id", "context")) == [(1, "KR_0000000009.json.zst")]
+    n.unpersist()
+
+
+def test_texts_that_look_like_separators(spark):
+    """Objects whose joined texts would be the same are told apart."""
+    pairs = [({"a": "x\u0000sy", "b": "z"}, {"a": "x", "b": "y\u0000sz"}), ({"a": "1\u0001"}, {"a": "1"}), ({"a\u0000b": 1, "c": 2}, {"a": 1, "b\u0000c": 2}), ({"a": "x", "p": [1]}, {"a": "x[('p', 0, None, 'n1')]"}), ({}, {"": ""})]
+    n = nodes(spark, [json.dumps({"info": x}) for pair in pairs for x in pair])
+    assert len({bytes(r["hash"]) for r in roots(n).collect()}) == 2 * len(pairs)
 
 
 def test_unwrapped(spark):
