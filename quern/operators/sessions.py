@@ -19,35 +19,36 @@ def _runs(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> Dat
     return df.withColumn("_new", first).withColumn("_run", F.sum("_new").over(w)).drop("_new")
 
 
-def chunked_sessions(events: DataFrame, keys: list[str], at: str, gap: int, chunk: int = DAY_MS) -> DataFrame:
+def chunked_sessions(events: DataFrame, keys: list[str], at: str, gap: int, chunk: int = DAY_MS, unique: str | None = None) -> DataFrame:
     """Sessions of each key: keys, session_start, session_end, session_duration, events.
 
     One input row is one event at the bigint `at`; rows at most `gap` apart belong together. Rows with a null
-    time count nowhere; a null key is a key like any other. Rows at the same time are all counted. An empty input
-    gives no sessions. Columns other than keys and `at` are not read, so extra ones cannot clash.
+    time count nowhere; a null key is a key like any other. Rows at the same time are all counted, but where `unique`
+    names a column, rows of a key with the same time and value of it are one event. An empty input gives no sessions.
+    Other columns are not read, so extra ones cannot clash.
 
     A key's rows are spread over (key, time chunk), so that no task holds all rows of a hot key. Of a chunk only
     its first and last session can go on in a neighbour; only those, at most two for each chunk of the calendar,
-    meet again by key. Their number is bounded by the time span, not by the number of rows.
+    meet again by key. Their number is bounded by the time span, not by the number of rows. The other sessions take
+    the same second step under their own chunk, where nothing is near enough to merge: one pass serves both.
     """
     t = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     k = [f"_k{i}" for i in range(len(keys))]
-    rows = events.where(F.col(at).isNotNull()).select(*t, F.col(at).cast("bigint").alias("_at"))
-    rows = rows.withColumn("_chunk", F.call_function("div", F.col("_at") - F.pmod("_at", F.lit(chunk)), F.lit(chunk)))
+    own = [F.col(unique).alias("_once")] if unique else []
+    rows = events.where(F.col(at).isNotNull()).select(*t, F.col(at).cast("bigint").alias("_at"), *own)
+    rows = rows.withColumn("_chunk", F.call_function("div", F.col("_at") - F.pmod(F.col("_at"), F.lit(chunk)), F.lit(chunk)))
+    if unique:
+        # Parted as the window below needs it, so that the repeats cost no shuffle of their own.
+        rows = rows.repartition(*k, "_chunk").distinct()
     local = (
         _runs(rows, [*k, "_chunk"], "_at", "_at", gap)
         .groupBy(*k, "_chunk", "_run")
         .agg(F.min("_at").alias("_s"), F.max("_at").alias("_e"), F.count("*").alias("_n"))
     )
     at_border = (F.col("_s") - F.col("_chunk") * chunk < gap) | ((F.col("_chunk") + 1) * chunk - F.col("_e") <= gap)
-    inner = local.where(~at_border).select(*k, "_s", "_e", "_n")
-    merged = (
-        _runs(local.where(at_border), k, "_s", "_e", gap)
-        .groupBy(*k, "_run")
-        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"))
-        .select(*k, "_s", "_e", "_n")
-    )
-    return inner.unionByName(merged).select(
+    placed = local.select(*k, F.when(~at_border, F.col("_chunk")).alias("_inside"), "_s", "_e", "_n")
+    merged = _runs(placed, [*k, "_inside"], "_s", "_e", gap).groupBy(*k, "_inside", "_run").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"))
+    return merged.select(
         *[F.col(f"_k{i}").alias(name) for i, name in enumerate(keys)],
         F.col("_s").alias("session_start"),
         F.col("_e").alias("session_end"),
@@ -79,9 +80,8 @@ def play_sessions(history: DataFrame, times: DataFrame, gap_ms: int = 7_200_000,
     plays = plays.where(F.col("puuid").isNotNull() & F.col("match_id").isNotNull())
     keyed = plays.select(*key128(F.col("puuid")), "match_id", "puuid")
     names = keyed.groupBy("h1", "h2").agg(F.max("puuid").alias("puuid"))
-    games = keyed.select("h1", "h2", "match_id").distinct()
-    placed = games.join(usable_match_times(times), "match_id").select("h1", "h2", "at_ms")
-    out = chunked_sessions(placed, ["h1", "h2"], "at_ms", gap_ms, chunk_ms).join(names, ["h1", "h2"])
+    placed = keyed.select("h1", "h2", "match_id").join(usable_match_times(times), "match_id")
+    out = chunked_sessions(placed, ["h1", "h2"], "at_ms", gap_ms, chunk_ms, unique="match_id").join(names, ["h1", "h2"])
     return out.select(
         "puuid",
         F.col("session_start").alias("session_start_ms"),
