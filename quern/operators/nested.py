@@ -314,8 +314,9 @@ def match_children(nodes: DataFrame) -> DataFrame:
 
     def table(role: str, *cols):
         own = nodes.where((F.col("kind") == "object") & (F.col("role") == role))
-        # Equal hashes have equal columns, so whole rows are made distinct: by hashing, without a sort.
-        return own.select(F.col("hash").alias("_h"), *cols).distinct()
+        # Equal hashes have equal columns, so whole rows are made distinct: by hashing, without a sort, and parted as
+        # the joins need them.
+        return own.select(F.col("hash").alias("_h"), *cols).repartition("_h").distinct()
 
     top = table("$", child("metadata").alias("meta"), child("info").alias("info"))
     meta = table("$.metadata", F.nullif(strip_space(scalar("matchId")), F.lit("")).alias("meta_id"))
