@@ -47,8 +47,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/quern/{purpose}-{uuid.uuid4().hex}"
+        #: Tables that were saved and not dropped.
+        self.names: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        if name not in self.names:
+            self.names.append(name)
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -57,3 +61,10 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in self.names:
+            self.names.remove(name)
+
+    def clear(self) -> None:
+        """Drops all that is left; for callers whose results no longer read it."""
+        for name in list(self.names):
+            self.drop(name)
