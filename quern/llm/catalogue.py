@@ -11,7 +11,7 @@ from quern.functions.ids import clean_match_id
 from quern.functions.oracle_text import bundle_sql, match_id_sql, player_sql
 from quern.llm.encodings import restore_texts
 from quern.llm.leaks import leaks
-from quern.llm.splits import ComponentStore, match_links, update_components, workspace
+from quern.llm.splits import ComponentStore, match_links, workspace
 from quern.llm.survivors import survive_fields, surviving_bundle
 from quern.llm.tokens import encode_corpus
 from quern.sources.tables import table
@@ -30,18 +30,21 @@ def p2_fields(spark: SparkSession, d: str) -> DataFrame:
     return survive_fields(rows, ["match_id"], fields, [F.coalesce((F.col("valid_for_pipeline") == 1).cast("int"), F.lit(0))], F.col("fetched_at_utc"))
 
 
-def _components(spark: SparkSession, d: str) -> DataFrame:
-    return update_components(None, match_links(table(spark, d, "match_participants")), workspace(spark))
+def _store(spark: SparkSession, d: str) -> ComponentStore:
+    """The component store, grown by all links of the table: in a new folder, or in the one that the session names in
+    spark.quern.components, where it keeps growing from run to run and holds all matches it was ever given."""
+    store = ComponentStore(spark, spark.conf.get("spark.quern.components", None) or workspace(spark).root)
+    store.update(match_links(table(spark, d, "match_participants")))
+    return store
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _components(spark, d).select(F.col("node").alias("match_id"), F.col("component").alias("group_key"))
+    return _store(spark, d).table().select(F.col("node").alias("match_id"), F.col("component").alias("group_key"))
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     """match_id, group_key, split of all matches, 80/10/10."""
-    s = ComponentStore(spark, workspace(spark).root).update(match_links(table(spark, d, "match_participants")))
-    return s.select(F.col("node").alias("match_id"), F.col("component").alias("group_key"), "split")
+    return _store(spark, d).table().select(F.col("node").alias("match_id"), F.col("component").alias("group_key"), "split")
 
 
 def p5_incremental(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def _jump(ws: Workspace, parent: DataFrame, tag: str) -> DataFrame:
         step += 1
 
 
-def components(links: DataFrame, ws: Workspace) -> DataFrame:
+def components(links: DataFrame, ws: Workspace, name: str = "components") -> DataFrame:
     """node, component: nodes that share a link (node string, h1, h2) directly or through others.
 
     component is the smallest node, in plain string order, of the whole component; every non-null node has one row.
@@ -36,7 +38,8 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
     Each round hooks every component to the smallest one that any of its links leads to, follows the hooks to their
     roots by pointer jumping, and renames the links; links that lead to one component only are done and leave. Links
     are only aggregated (combined before the shuffle) and joined (adaptive skew joins split a hot link), never
-    collected. What a round leaves is written to the shared folder, which cuts the lineage.
+    collected. What a round leaves is written to the shared folder, which cuts the lineage; the rounds' renamings are
+    composed among themselves, the shortest first, and meet all nodes once.
     """
     nodes = links.where(F.col("node").isNotNull()).select("node").distinct()
     live = links.where(F.col("node").isNotNull() & F.col("h1").isNotNull()).select("node", "h1", "h2").distinct()
@@ -57,10 +60,20 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
         for old in (f"links{k}", f"hooks{k}"):
             ws.drop(old)
         live, k = kept, k + 1
+    # A round renames only nodes that no earlier round did: its own and the composed ones of those after it are disjoint.
+    composed = None
+    for root in reversed(roots):
+        if composed is not None:
+            after = composed.select(F.col("node").alias("root"), F.col("root").alias("last"))
+            root = root.join(after, "root", "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(composed)
+        composed = root
     label = nodes.withColumn("component", F.col("node"))
-    for root in roots:
-        label = label.join(root.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    return ws.save(label, "components")
+    if composed is not None:
+        label = nodes.join(composed, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    out = ws.save(label, name)
+    for done in [x for x in ws.names if x.startswith(("links", "hooks", "round"))]:
+        ws.drop(done)
+    return out
 
 
 def match_links(participants: DataFrame) -> DataFrame:
@@ -102,9 +115,22 @@ def assign_splits(table: DataFrame, old_splits: DataFrame | None = None, splits=
         old_splits = spark.createDataFrame([], "component string, split string")
     past = table.join(old_splits.select(F.col("component").alias("old"), "split"), "old", "left")
     sizes = past.groupBy("component").agg(F.count("*").alias("n"), F.min("split").alias("low"), F.max("split").alias("high"))
-    kept = F.when(F.col("low").isNull(), None).when(F.col("low") == F.col("high"), F.col("low")).otherwise("quarantine")
-    sizes = sizes.select("component", "n", kept.alias("kept"))
+    sizes = sizes.select("component", "n", _kept().alias("kept"))
     held = {r["kept"]: r["n"] for r in sizes.groupBy("kept").agg(F.sum("n").alias("n")).collect()}
+    named = _place(sizes, held, splits, large_share).select("component", "split")
+    return table.select("node", "component").join(named, "component").select("node", "component", "split")
+
+
+def _kept():
+    """The split of a component from the lowest and highest split of what it merges."""
+    return F.when(F.col("low").isNull(), None).when(F.col("low") == F.col("high"), F.col("low")).otherwise("quarantine")
+
+
+def _place(sizes: DataFrame, held: dict, splits, large_share: float) -> DataFrame:
+    """component, n, split: sizes (component, n, kept) with splits for those that keep none.
+
+    held: nodes by split that are placed, under None those to be placed.
+    """
     total = sum(n for k, n in held.items() if k != "quarantine")
     missing = {name: share * total - held.get(name, 0) for name, share in splits}
     large = sizes.where(F.col("kept").isNull() & (F.col("n") >= max(1.0, large_share * total))).orderBy(F.desc("n"), "component")
@@ -123,20 +149,24 @@ def assign_splits(table: DataFrame, old_splits: DataFrame | None = None, splits=
         cuts.append((name, at))
     for name, cut in reversed(cuts[:-1]):
         by_hash = F.when(point < cut, name).otherwise(by_hash)
-    picked = spark.createDataFrame(chosen, "component string, picked string")
-    named = sizes.join(F.broadcast(picked), "component", "left").select("component", F.coalesce("kept", "picked", by_hash).alias("split"))
-    return table.select("node", "component").join(named, "component").select("node", "component", "split")
+    picked = sizes.sparkSession.createDataFrame(chosen, "component string, picked string")
+    named = sizes.join(F.broadcast(picked), "component", "left")
+    return named.select("component", "n", F.coalesce("kept", "picked", by_hash).alias("split"))
 
 
 class ComponentStore:
-    """Component tables kept in versions under a folder; updates only ever add a version.
+    """A component table under a folder that grows by batches; an update only adds a version of what is new.
 
-    nodes: node, component, split. keys: h1, h2, component of every link seen, one row each, through which later
-    links of the same player find the component.
+    Version v holds nodes (node, component) and keys (h1, h2, component) first seen in it, under the names their
+    components then had; renames (old, component), all names that merges have ended, with the present one;
+    groups (component, split, n), the components that the batch made or changed; and sums (split, n) of all nodes.
+    An update reads nodes, keys and groups once to find what the batch touches, and from there on works on the batch
+    and the touched components' names alone: what it shuffles and writes is in proportion to the batch. An update
+    that failed leaves no finished version and can be run again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, splits=SPLITS):
-        self.spark, self.folder, self.splits = spark, folder.rstrip("/"), splits
+    def __init__(self, spark: SparkSession, folder: str, splits=SPLITS, large_share: float = 0.001):
+        self.spark, self.folder, self.splits, self.large_share = spark, folder.rstrip("/"), splits, large_share
         self.version = 0
         while self._finished(self.version + 1):
             self.version += 1
@@ -145,30 +175,97 @@ class ComponentStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{version}/nodes/_SUCCESS")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def _all(self, name: str, schema: str) -> DataFrame:
+        """Rows of all versions of a table, with their version."""
+        if not self.version:
+            return self.spark.createDataFrame([], f"{schema}, version int")
+        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/v{v}/{name}").withColumn("version", F.lit(v)) for v in range(1, self.version + 1)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _renames(self) -> DataFrame:
+        schema = "old string, component string"
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/v{self.version}/renames") if self.version else self.spark.createDataFrame([], schema)
+
+    def _named_now(self, df: DataFrame) -> DataFrame:
+        """df with its component's present name."""
+        now = self._renames().select(F.col("old").alias("component"), F.col("component").alias("_now"))
+        return df.join(now, "component", "left").withColumn("component", F.coalesce("_now", "component")).drop("_now")
+
+    def _groups(self) -> DataFrame:
+        """component, split, n of every component, as its last version has it; merged names are among them."""
+        rows = self._all("groups", "component string, split string, n bigint")
+        last = rows.groupBy("component").agg(F.max(F.struct("version", "split", "n")).alias("x"))
+        return last.select("component", "x.split", "x.n")
+
     def table(self, name: str = "nodes") -> DataFrame | None:
-        """A table of the latest version; None before the first update."""
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}/{name}") if self.version else None
+        """nodes: node, component, split; keys: h1, h2, component; as of the last version. None before the first."""
+        if not self.version:
+            return None
+        if name == "keys":
+            return self._named_now(self._all("keys", "h1 bigint, h2 bigint, component string").drop("version")).select("h1", "h2", "component")
+        nodes = self._named_now(self._all("nodes", "node string, component string").drop("version"))
+        return nodes.join(self._groups().select("component", "split"), "component").select("node", "component", "split")
 
     def update(self, links: DataFrame) -> DataFrame:
         """The node table after more links (node, h1, h2).
 
         Components keep their splits, new ones fill what is missing, merged ones of different splits go to
-        'quarantine'. An update that failed leaves no finished version and can be run again.
+        'quarantine'. Nulls, repeated rows and empty batches are as in `components`.
         """
-        ws, known, keys = workspace(self.spark), self.table(), self.table("keys")
-        old = None if known is None else known.select("component", "split").distinct()
-        now = update_components(None if known is None else known.select("node", "component"), links, ws, keys)
+        ws = workspace(self.spark)
+        batch = ws.save(links.where(F.col("node").isNotNull()).select("node", "h1", "h2").distinct(), "batch")
+        mini = batch.withColumn("known", F.lit(None).cast("string"))
+        tied = None
+        if self.version:
+            nodes = self._all("nodes", "node string, component string").drop("version").join(batch.select("node").distinct(), "node", "left_semi")
+            own = self._named_now(nodes).select("node", F.col("component").alias("known"))
+            mini = batch.join(own, "node", "left")
+            keys = self._all("keys", "h1 bigint, h2 bigint, component string").drop("version").join(batch.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+            tied = ws.save(self._named_now(keys).select(F.col("component").alias("node"), "h1", "h2"), "tied")
+        mini = ws.save(mini.select("node", "h1", "h2", "known"), "mini") if self.version else mini
+        named = mini.select(F.coalesce("known", "node").alias("node"), "h1", "h2")
+        comps = components(named if tied is None else named.unionByName(tied), ws)
+        # Old components among the names, with the split and size they had.
+        touched = mini.where(F.col("known").isNotNull()).select(F.col("known").alias("component"))
+        touched = (touched if tied is None else touched.unionByName(tied.select(F.col("node").alias("component")))).distinct()
+        past = ws.save(self._groups().join(touched, "component").select(F.col("component").alias("node"), "split", "n"), "past") if self.version else self.spark.createDataFrame([], "node string, split string, n bigint")
+        merged = comps.join(past, "node", "left")
+        sizes = merged.groupBy("component").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"), F.min("split").alias("low"), F.max("split").alias("high"))
+        sizes = ws.save(sizes.select("component", "n", _kept().alias("kept")), "sizes")
+        held = self._sums()
+        for r in past.groupBy("split").agg(F.sum("n").alias("n")).collect():
+            held[r["split"]] = held.get(r["split"], 0) - r["n"]
+        for r in sizes.groupBy("kept").agg(F.sum("n").alias("n")).collect():
+            held[r["kept"]] = held.get(r["kept"], 0) + r["n"]
+        placed = ws.save(_place(sizes, held, self.splits, self.large_share), "placed")
+        held.pop(None, None)
+        for r in placed.join(sizes.where("kept is null").select("component"), "component", "left_semi").groupBy("split").agg(F.sum("n").alias("n")).collect():
+            held[r["split"]] = held.get(r["split"], 0) + r["n"]
         to = f"{self.folder}/v{self.version + 1}"
-        owned = links.where(F.col("node").isNotNull() & F.col("h1").isNotNull()).select("node", "h1", "h2")
-        if keys is not None:
-            owned = owned.unionByName(keys.select(F.col("component").alias("node"), "h1", "h2"))
-        placed = owned.join(now.select("node", "component"), "node").groupBy("h1", "h2").agg(F.min("component").alias("component"))
-        placed.write.mode("overwrite").parquet(f"{to}/keys")
-        assign_splits(now, old, self.splits).write.mode("overwrite").parquet(f"{to}/nodes")
+        ended = comps.join(past.select("node"), "node", "left_semi").where("node <> component").select(F.col("node").alias("old"), "component")
+        again = self._renames().join(ended.select(F.col("old").alias("component"), F.col("component").alias("_next")), "component", "left")
+        renames = again.select("old", F.coalesce("_next", "component").alias("component")).unionByName(ended)
+        renames.write.mode("overwrite").parquet(f"{to}/renames")
+        new_keys = mini.where(F.col("h1").isNotNull())
+        if tied is not None:
+            new_keys = new_keys.join(tied.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        new_keys = new_keys.select(F.coalesce("known", "node").alias("node"), "h1", "h2").join(comps, "node").select("h1", "h2", "component").distinct()
+        new_keys.write.mode("overwrite").parquet(f"{to}/keys")
+        placed.select("component", "split", "n").write.mode("overwrite").parquet(f"{to}/groups")
+        self.spark.createDataFrame([(k, int(n)) for k, n in held.items()], "split string, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{to}/sums")
+        fresh = mini.where(F.col("known").isNull()).select("node").distinct() if self.version else None
+        new_nodes = comps if fresh is None else comps.join(fresh, "node", "left_semi")
+        new_nodes.select("node", "component").write.mode("overwrite").parquet(f"{to}/nodes")
         self.version += 1
-        ws.drop("components")
+        ws.clear()
         return self.table()
 
+    def _sums(self) -> dict:
+        """Nodes by split, of at most one row for each."""
+        if not self.version:
+            return {}
+        return {r["split"]: r["n"] for r in self.spark.read.schema("split string, n bigint").parquet(f"{self.folder}/v{self.version}/sums").collect()}
+
 
 def workspace(spark: SparkSession) -> Workspace:
     return Workspace(spark, "components")

@@ -96,3 +96,22 @@ def test_store_in_batches(spark, tmp_path):
         assert all(len({s for c, s in now.values() if c == one}) == 1 for one, _ in now.values())
     assert sorted((n, c) for n, (c, _) in now.items()) == brute(links)
     assert ComponentStore(spark, str(tmp_path / "s")).version == store.version
+
+
+def test_update_in_proportion_to_the_batch(spark, tmp_path):
+    """A small batch writes only what it touches, merges old components and keeps their names and splits right."""
+    links = [(f"m{i:04}", i // 3, 0) for i in range(600)]
+    store = ComponentStore(spark, str(tmp_path / "s"))
+    before = {r["node"]: (r["component"], r["split"]) for r in store.update(spark.createDataFrame(links, LINKS)).collect()}
+    more = [("m0599", 999, 0), ("m0300", 999, 0), ("a", 999, 0), ("new", 1000, 0), ("m0003", 1, 0), (None, 5, 0), ("alone", None, None), ("m0003", 1, 0)]
+    now = {r["node"]: (r["component"], r["split"]) for r in store.update(spark.createDataFrame(more, LINKS)).collect()}
+    assert sorted((n, c) for n, (c, _) in now.items()) == brute(links + more)
+    assert {n for n in before if now[n] != before[n]} <= {n for n in now if now[n][0] == "a"}
+    read = lambda name: spark.read.parquet(f"{tmp_path}/s/v2/{name}")
+    assert rows(read("nodes").select("node")) == [("a",), ("alone",), ("new",)] and read("keys").count() == 2
+    assert read("renames").count() == 2 and read("groups").count() == 4
+    third = store.update(spark.createDataFrame([("0", 7, 0), ("0", 999, 0)], LINKS))
+    assert sorted((r["node"], r["component"]) for r in third.collect()) == brute(links + more + [("0", 7, 0), ("0", 999, 0)])
+    counts = {r["split"]: r["count"] for r in third.groupBy("split").count().collect()}
+    assert counts == {k: n for k, n in store._sums().items() if n}
+    assert rows(store.update(spark.createDataFrame([], LINKS))) == rows(third)
