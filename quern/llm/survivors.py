@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from quern.functions.ids import clean_bundle, clean_match_id
 
 
-def survive_fields(rows: DataFrame, keys: list[str], fields: list[str], priority: list[Column], at: Column) -> DataFrame:
+def survive_fields(rows: DataFrame, keys: list[str], fields: list[str], priority: list[Column], at: Column, smallest: bool = False, also: tuple[Column, ...] = ()) -> DataFrame:
     """One record for each group of keys; each field comes from the best row that has it.
 
     One aggregation: for each field the maximum of the struct (non-null, *priority, at, value). priority columns
-    count high before low, a null as lowest; at last the larger value wins, so ties and repeated rows have one
-    result. A field that is null in the whole group is null. Rows with a null key are a group of their own, as in
-    any grouping. The maximum is combined before the shuffle: a hot group costs one row for each task. An empty
-    input gives an empty result; columns not named are not read.
+    count high before low, a null as lowest; at last the larger value wins (the smaller one with `smallest`, which
+    takes numeric priorities), so ties and repeated rows have one result. A field that is null in the whole group is
+    null; a field may be a struct, whose parts then stay together. Rows with a null key are a group of their own, as
+    in any grouping. The maximum is combined before the shuffle: a hot group costs one row for each task. An empty
+    input gives an empty result; columns not named are not read. `also`: further aggregates, under their own names.
     """
     names = [f"_p{i}" for i in range(len(priority))]
-    ranked = rows.select(*keys, *fields, *[p.alias(n) for p, n in zip(priority, names)], at.alias("_at"))
-    best = [F.max(F.struct(F.col(f).isNotNull().alias("has"), *names, "_at", F.col(f).alias("value"))).alias(f"_b_{f}") for f in fields]
-    return ranked.groupBy(*keys).agg(*best).select(*keys, *[F.col(f"_b_{f}.value").alias(f) for f in fields])
+    high = [*[p.alias(n) for p, n in zip(priority, names)], at.alias("_at")]
+    if smallest:
+        # The order of the maximum with all terms turned, so that the value itself can count low before high.
+        turned = [F.struct(p.isNull().alias("none"), F.negate(p).alias("v")).alias(n) for p, n in zip([*priority, at], [*names, "_at"])]
+        ranked = rows.select(*keys, *fields, *turned)
+        best = [F.min(F.struct(F.col(f).isNull().alias("has"), *names, "_at", F.col(f).alias("value"))).alias(f"_b_{f}") for f in fields]
+    else:
+        ranked = rows.select(*keys, *fields, *high)
+        best = [F.max(F.struct(F.col(f).isNotNull().alias("has"), *names, "_at", F.col(f).alias("value"))).alias(f"_b_{f}") for f in fields]
+    grouped = ranked.groupBy(*keys).agg(*best, *also)
+    more = [c for c in grouped.columns if c not in keys and not c.startswith("_b_")]
+    return grouped.select(*keys, *[F.col(f"_b_{f}.value").alias(f) for f in fields], *more)
 
 
 def surviving_bundle(occurrences: DataFrame, headers: DataFrame, least_bundles: int = 2, most_participants: int = 10) -> DataFrame:
@@ -31,22 +41,21 @@ def surviving_bundle(occurrences: DataFrame, headers: DataFrame, least_bundles:
     clean form; rows of either table with a null or blank id or bundle are left out; repeated rows change nothing;
     a bundle that no occurrence lists cannot survive. No headers: the name alone decides. No occurrences: no rows.
 
-    Occurrences and headers go into one long form, grouped by (match, bundle) and then by match; both groupings
-    take maxima of composite structs, combined before the shuffle.
+    Occurrences and headers go into one long form. Both steps are field-by-field survivorship: by (match, bundle) the
+    header's attributes survive as one composite struct, beside whether the bundle is listed; by match the bundle
+    survives, its attributes being the priorities. Each is one aggregation, combined before the shuffle.
     """
-    # A header that reads better has the smaller struct, so that the name sorting first can end the comparison.
-    least_time = F.lit(-(2**62))
     worth = F.struct(
-        F.when(F.col("valid_for_pipeline") == 1, 0).otherwise(1).alias("v"),
-        (-F.least(F.coalesce(F.col("participant_count"), F.lit(0)), F.lit(most_participants))).alias("c"),
-        (-F.coalesce(F.col("fetched_at_utc").cast("bigint"), least_time)).alias("t"),
+        F.coalesce((F.col("valid_for_pipeline") == 1).cast("int"), F.lit(0)).alias("v"),
+        F.least(F.coalesce(F.col("participant_count"), F.lit(0)), F.lit(most_participants)).alias("c"),
+        F.col("fetched_at_utc").cast("bigint").alias("t"),
     )
     kind = "struct<v:int,c:int,t:bigint>"
     ids = [clean_match_id(F.col("match_id")).alias("match_id"), clean_bundle(F.col("bundle")).alias("bundle")]
     listed = occurrences.select(*ids, F.lit(1).alias("listed"), F.lit(None).cast(kind).alias("worth"))
-    held = headers.select(*ids, F.lit(0).alias("listed"), worth.cast(kind).alias("worth"))
+    held = headers.select(*ids, F.lit(None).cast("int").alias("listed"), worth.cast(kind).alias("worth"))
     long = listed.unionByName(held).where(F.col("match_id").isNotNull() & F.col("bundle").isNotNull())
-    by_bundle = long.groupBy("match_id", "bundle").agg(F.max("listed").alias("listed"), F.min("worth").alias("worth")).where("listed = 1")
-    order = F.struct(F.col("worth").isNull().alias("none"), "worth", "bundle")
-    best = by_bundle.groupBy("match_id").agg(F.min(order).alias("best"), F.count("*").alias("bundles"))
-    return best.where(F.col("bundles") >= least_bundles).select("match_id", F.col("best.bundle").alias("bundle"), "bundles")
+    by_bundle = survive_fields(long, ["match_id", "bundle"], ["listed", "worth"], [], F.lit(0)).where("listed = 1")
+    priority = [F.col("worth").isNotNull().cast("int"), F.col("worth.v"), F.col("worth.c")]
+    best = survive_fields(by_bundle, ["match_id"], ["bundle"], priority, F.col("worth.t"), smallest=True, also=(F.count("*").alias("bundles"),))
+    return best.where(F.col("bundles") >= least_bundles).select("match_id", "bundle", "bundles")
