@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -207,32 +209,34 @@ class Encoder:
                 self.cache[piece] = ids
         return ids
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
-        """(ids, code point offset of the piece that each id belongs to) of each text; none for null and empty ones."""
+    def flat(self, texts: list[str | None]) -> tuple[array, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts on end, how many each piece has, the pieces' starts within all texts, pieces before each text)."""
         full = "".join(t for t in texts if t)
+        sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
         if not full:
-            yield from (([], []) for _ in texts)
-            return
+            return array("i"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         points = np.frombuffer(full.encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(t) if t else 0 for t in texts])
-        at = np.cumsum(sizes) - sizes
+        at = np.append(0, np.cumsum(sizes))
         first = np.zeros(len(points), bool)
-        first[at[sizes > 0]] = True
+        first[at[:-1][sizes > 0]] = True
         starts = piece_starts(points, first)
-        lows = np.searchsorted(starts, at).tolist()
-        highs = np.searchsorted(starts, at + sizes).tolist()
         where = starts.tolist()
-        where.append(len(full))
-        get = self.cache.get
-        for base, low, high in zip(at.tolist(), lows, highs):
-            ids: list[int] = []
-            offsets: list[int] = []
-            for k in range(low, high):
-                piece = full[where[k] : where[k + 1]]
-                own = get(piece) or self.ids_of(piece)
-                ids += own
-                offsets += [where[k] - base] * len(own)
-            yield ids, offsets
+        pieces = [full[i:j] for i, j in zip(where, [*where[1:], len(full)])]
+        found = list(map(self.cache.get, pieces))
+        for k in [k for k, own in enumerate(found) if own is None]:
+            found[k] = self.ids_of(pieces[k])
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return array("i", chain.from_iterable(found)), counts, starts, np.searchsorted(starts, at)
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
+        """(ids, code point offset of the piece that each id belongs to) of each text; none for null and empty ones."""
+        ids, counts, starts, pieces = self.flat(texts)
+        ends = np.append(0, np.cumsum(counts))[pieces].tolist()
+        base = 0
+        for k, t in enumerate(texts):
+            own = slice(pieces[k], pieces[k + 1])
+            yield ids[ends[k] : ends[k + 1]].tolist(), np.repeat(starts[own] - base, counts[own]).tolist()
+            base += len(t or "")
 
 
 def decode(ids: list[int], tokens: dict[int, bytes]) -> str:
@@ -264,14 +268,20 @@ def _batches(shared, key: int, offsets: bool):
         if encoder is None:
             _ENCODERS.clear()
             encoder = _ENCODERS[key] = Encoder(shared.value)
+        def lists(parts: list, ends: list):
+            values = pa.array(np.concatenate([np.frombuffer(p, np.int32) if isinstance(p, array) else p.astype(np.int32) for p in parts] or [np.zeros(0, np.int32)]))
+            return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(ends)), pa.int64()), values).cast(pa.list_(pa.int32()))
+
         for b in batches:
-            ids, starts = [], []
+            ids, starts, ends = [], [], []
             for group in _groups(b.column(1).to_pylist()):
-                for i, s in encoder.encode(group):
-                    ids.append(i)
-                    starts.append(s)
-            kind = pa.list_(pa.int32())
-            columns = [pa.array(b.column(0).to_pylist(), pa.int64()), pa.array(ids, kind)] + ([pa.array(starts, kind)] if offsets else [])
+                flat, counts, at, pieces = encoder.flat(group)
+                ids.append(flat)
+                ends += np.diff(np.append(0, np.cumsum(counts))[pieces]).tolist()
+                if offsets:
+                    base = np.repeat(np.cumsum([0, *(len(t or "") for t in group)])[:-1], np.diff(pieces))
+                    starts.append(np.repeat(at - base, counts))
+            columns = [pa.array(b.column(0).to_pylist(), pa.int64()), lists(ids, ends)] + ([lists(starts, ends)] if offsets else [])
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts"][: len(columns)])
 
     return run
