@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -92,10 +93,26 @@ def _named_words(text: str) -> tuple[list[str], set[str]]:
     return out, names
 
 
+def vocabulary(texts: Iterable[str | None], least_words: int) -> dict[str, int]:
+    """Template id of every word of the items: its type, also where only one of all items writes it as a name."""
+    words: dict[str, None] = {}
+    names: set[str] = set()
+    for text in texts:
+        ws, ns = _named_words(text) if text else ([], set())
+        if len(ws) >= least_words:
+            words.update(dict.fromkeys(ws))
+            names |= ns
+    return {w: _slot_type(w) or (NAME if w in names else k + 10) for k, w in enumerate(words)}
+
+
 class TemplateIndex:
-    """Windows of the items' templates by hash. It holds one block of items and is sent to the tasks."""
+    """Windows of the items' templates by hash. It holds one block of items and is sent to the tasks.
+
+    ids is the `vocabulary` of all items, of which the block may be a part: what counts as a name, and which words no
+    item has, do not depend on how items fall into blocks.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], least_words: int, per_edit: int):
+    def __init__(self, items: list[tuple[int, str]], least_words: int, per_edit: int, ids: dict[str, int] | None = None):
         import numpy as np
 
         self.least, self.per_edit = least_words, per_edit
@@ -105,17 +122,12 @@ class TemplateIndex:
         #: By place in the block: two rows may have one id.
         self.owner: list[int] = []
         self.words: list[list[str]] = []
-        names: set[str] = set()
         for item_id, text in items:
-            ws, ns = _named_words(text)
+            ws = _named_words(text)[0]
             if len(ws) >= least_words:
                 self.owner.append(item_id)
                 self.words.append(ws)
-                names |= ns
-        self.ids: dict[str, int] = {}
-        for ws in self.words:
-            for w in ws:
-                self.ids.setdefault(w, _slot_type(w) or (NAME if w in names else len(self.ids) + 10))
+        self.ids = vocabulary((text for _, text in items), least_words) if ids is None else ids
         places: dict[int, list[tuple[int, int]]] = {}
         for place, ws in enumerate(self.words):
             for a, h in enumerate(self.hashes(np.array([self.ids[w] for w in ws], dtype=np.int64)).tolist()):
@@ -254,11 +266,12 @@ def find_in(index: TemplateIndex, text: str) -> list[tuple[int, str, int, int, i
     return [(index.owner[item], kind, *x) for (item, kind), x in best.items()]
 
 
-def _batches(shared):
+def _batches(shared, words):
     def run(batches):
         import pyarrow as pa
 
         index: TemplateIndex = shared.value
+        index.ids = words.value
         types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         names = ("doc_id", "item_id", "kind", "words", "edits", "doc_word", "changed_slots")
         for b in batches:
@@ -286,7 +299,8 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, per_edi
     Windows of template words are hashed on both sides and joined; the slots of a joined window then tell copies from
     re-parameterised ones, and copies are aligned exactly. A passage always holds a window without an edit, so the
     join loses none. The items are the stated queries: their windows are broadcast in blocks of at most `block`
-    items, each block meeting all documents, so the size sent is bounded whatever the number of items.
+    items, each block meeting all documents, so that a task holds the windows of one block at a time; the result does
+    not depend on the blocks. The items' word list is sent as well, once for all blocks.
 
     Null and empty texts, and items of fewer than least_words words, are in no result. Repeated documents are
     each answered; rows of items with the same id are different texts of that item. Texts of any length are read
@@ -296,12 +310,18 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, per_edi
     docs = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
     n = items.count()
     parts = -(-n // block) or 1
+    if not n:
+        return spark.createDataFrame([], RESULT_SCHEMA)
     own = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
+    # One word list for all blocks: read item by item, it grows with the items' words, not with the documents.
+    ids = vocabulary((r[0] for r in own.select("text").toLocalIterator()), least_words)
+    words = spark.sparkContext.broadcast(ids)
     found = []
     for k in range(parts):
         mine = own if parts == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        index = TemplateIndex([tuple(r) for r in mine.collect()], least_words, per_edit)
-        found.append(docs.mapInArrow(_batches(spark.sparkContext.broadcast(index)), RESULT_SCHEMA))
+        index = TemplateIndex([tuple(r) for r in mine.collect()], least_words, per_edit, ids)
+        index.ids = {}  # sent once, on its own
+        found.append(docs.mapInArrow(_batches(spark.sparkContext.broadcast(index), words), RESULT_SCHEMA))
     every = reduce(DataFrame.unionByName, found)
     longest = F.max(F.struct("words", F.negate("edits").alias("e"), "doc_word", "changed_slots")).alias("x")
     return every.groupBy("doc_id", "item_id", "kind").agg(longest).select(

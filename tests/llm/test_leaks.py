@@ -119,3 +119,15 @@ def test_long_tags():
     assert found("where a <b holds, " + " ".join(WORDS) + " and so on until c> d")
     plain("<a x=" + '"' * 5 + "<a b " * 40_000)
     plain("<a" + " b=c d" * 40_000)
+
+
+def test_templates_do_not_depend_on_blocks(spark):
+    """A word that only another item writes as a name is a placeholder in every block."""
+    first = "the tired captain counted that the usual dragon near Grimvale comes back after 30 seconds if every player waits calmly beside the river and nobody touches the tower"
+    first = first.replace("Grimvale", "grimvale")
+    second = "Yesterday the crew of Grimvale wrote a long report about vision control and nobody in the whole team wanted to read it before the second match began"
+    copy = first.replace("grimvale", "Ashfordia").replace("30", "45")
+    d = spark.createDataFrame([(1, copy, 0, "x")], DOCS)
+    i = spark.createDataFrame([(1, first, 0), (2, second, 0)], ITEMS)
+    results = [rows(leaks(d, i, block=b).where("kind = 'template'")) for b in (2000, 2, 1)]
+    assert results[0] and results[0] == results[1] == results[2]
