@@ -6,8 +6,9 @@ within each nested match document and needs no shuffle at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from quern.functions.clock import duration_s, local_time_columns
 from quern.functions.numeric import flag, safe_div
@@ -74,6 +75,26 @@ MATCH_SCHEMA = (
 )
 
 
+def _as_text(kind: DataType) -> DataType:
+    """A type with text for every scalar in it."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _as_text(f.dataType)) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(_as_text(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(kind.keyType, _as_text(kind.valueType))
+    return StringType()
+
+
+def read_documents(spark: SparkSession, payload: Column, schema: str = MATCH_SCHEMA) -> Column:
+    """A JSON text as a struct of a schema, whatever way its scalars are written: 7, 7.0 and "7" are one number.
+
+    Read with text for every scalar and cast after; what cannot be cast is null by itself, and nothing around it is.
+    """
+    kind = spark.createDataFrame([], schema).schema
+    return F.from_json(payload, _as_text(kind)).try_cast(kind)
+
+
 def drop_reason() -> Column:
     """First reason for which a match document (MATCH_SCHEMA) makes no feature row; 'ok' if there is none."""
     p, t = F.col("info.participants"), F.col("info.teams")
@@ -95,6 +116,11 @@ def drop_reason() -> Column:
     )
 
 
+def match_id_of() -> Column:
+    """The id in a document's metadata, else the one in its file name."""
+    return F.coalesce(F.nullif(F.col("metadata.matchId"), F.lit("")), id_of_file(F.col("source_file")))
+
+
 def feature_columns() -> list[str]:
     """Names of all columns of `match_features`, in order."""
     out = ["match_id", "source_folder", "source_file", "game_version", "patch", "queue_id", "map_id", "server_timezone_fallback_used", "game_duration_sec", "server", "is_weekend", "local_time_sin", "local_time_cos"]
@@ -211,7 +237,7 @@ def match_features(matches: DataFrame, folder: str = "source_folder", file: str
 
     picked = [player(s, api).alias(f"_{s}_{name}") for s in "wl" for api, name in POSITIONS.items()]
     d = d.select("*", *picked, *[team(s).alias(f"_team_{s}") for s in "wl"], *[objectives(s).alias(f"_objectives_{s}") for s in "wl"])
-    match_id = F.coalesce(F.nullif(F.col("metadata.matchId"), F.lit("")), id_of_file(F.col("source_file")))
+    match_id = match_id_of()
     version = F.coalesce("info.gameVersion", F.lit(""))
     clock = local_time_columns(F.col("info.gameStartTimestamp"), prefix_or_whole(match_id), F.col("source_folder"))
     head = {

@@ -114,10 +114,16 @@ def plain_documents(payload: str | None, root_key: str = "info") -> list[str | N
         return [payload]
 
 
-def unwrapped(records: DataFrame, payload_column: str, root_key: str = "info") -> DataFrame:
-    """records with one row for each document in their payload, however wrapped; others keep their row as it is."""
+def unwrapped(records: DataFrame, payload_column: str, root_key: str = "info", place: str | None = None) -> DataFrame:
+    """records with one row for each document in their payload, however wrapped; others keep their row as it is.
+
+    place: name of a column for the document's position within its record, from 0.
+    """
     plain = F.udf(lambda x: plain_documents(x, root_key), "array<string>", useArrow=True)
-    return spread(records).withColumn(payload_column, F.explode(plain(F.col(payload_column).cast("string"))))
+    if place is None:
+        return spread(records).withColumn(payload_column, F.explode(plain(F.col(payload_column).cast("string"))))
+    rest = [c for c in records.columns if c != payload_column]
+    return spread(records).select(*rest, F.posexplode(plain(F.col(payload_column).cast("string"))).alias(place, payload_column))
 
 
 class _Shredder:

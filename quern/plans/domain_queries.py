@@ -11,7 +11,7 @@ from quern.functions.oracle_text import epoch_ms_sql, match_id_sql, normal_quant
 from quern.functions.subquery import with_row
 from quern.functions.text import prefix_or_whole
 from quern.operators import audit, choosing, labels, nested, relations, statistics
-from quern.operators.features import MATCH_SCHEMA, drop_reason, match_features
+from quern.operators.features import drop_reason, match_features, match_id_of, read_documents
 from quern.operators.quantiles import quantiles
 from quern.operators.sessions import usable_match_times
 from quern.plans.registry import Registry
@@ -125,8 +125,8 @@ def k_replace_children(t):
 
 
 def _documents(t):
-    d = nested.unwrapped(t.raw_match_docs.select("payload", "source_folder", "source_file"), "payload").withColumn("m", F.from_json("payload", MATCH_SCHEMA))
-    return d.select("m.metadata", "m.info", "source_folder", "source_file")
+    d = nested.unwrapped(t.raw_match_docs.select("record_id", "received_at", "payload", "source_folder", "source_file"), "payload", place="doc_no")
+    return d.withColumn("m", read_documents(t.spark, F.col("payload"))).select("m.metadata", "m.info", "record_id", "doc_no", "received_at", "source_folder", "source_file")
 
 
 @R_.add()
@@ -137,8 +137,12 @@ def f_match_reasons(t):
 
 @R_.add()
 def f_match_features(t):
-    """The 475-column rows of the received documents, one for each match: the first folder and file in order."""
-    return choosing.first_wins(match_features(_documents(t)), ["match_id"], ["source_folder", "source_file"])[0]
+    """The 475-column rows of the received documents, one for each match: of its usable documents the first by folder,
+    file, time of receipt, record and place in the record. The document is chosen first, its row made after."""
+    d = _documents(t).withColumn("_reason", drop_reason()).where("_reason = 'ok'").drop("_reason").withColumn("_match", match_id_of())
+    order = F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("v")).alias(c) for c in ("source_folder", "source_file", "received_at", "record_id", "doc_no")])
+    first = d.groupBy("_match").agg(F.min_by(F.struct("metadata", "info", "source_folder", "source_file"), order).alias("d"))
+    return match_features(first.select("d.*"))
 
 
 @R_.add(f"""
