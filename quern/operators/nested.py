@@ -105,10 +105,11 @@ def plain_documents(payload: str | None, root_key: str = "info") -> list[str | N
     if payload is None:
         return [None]
     try:
-        whole = json.loads(payload.strip().lstrip("\ufeff").lstrip())
+        text = payload.strip().lstrip("\ufeff").lstrip()
+        whole = json.loads(text)
         docs = list(documents_in(whole, root_key))
         if len(docs) == 1 and docs[0] is whole and _arrays(whole) == whole:
-            return [payload]
+            return [text]
         return [json.dumps(_arrays(x)) for x in docs] or [payload]
     except (ValueError, RecursionError):
         return [payload]

@@ -82,6 +82,17 @@ def v_label_overlap(t):
     return relations.alignment(f, x, "match_id", "v").select("only_left", "only_right")
 
 
+@R_.add("""
+with a as (select match_id m, max(average_skill_level) v from skill_targets where match_id is not null group by 1), b as (select match_id m, round(min(average_skill_level), 1) v from skill_targets where mapped_participants > 8 and match_id is not null group by 1)
+select count(*) filter (b.m is null) only_left, count(*) filter (a.m is null) only_right, count(*) filter (a.v is distinct from b.v and not coalesce(abs(a.v - b.v) <= 0.02, false) and a.m is not null and b.m is not null) differing from a full join b using (m)""")
+def v_label_differences(t):
+    """Labels of all rows against rounded ones of rows with enough participants: how many differ by more than the tolerance."""
+    s = t.skill_targets.where(F.col("match_id").isNotNull())
+    a = s.groupBy("match_id").agg(F.max("average_skill_level").alias("v"))
+    b = s.where("mapped_participants > 8").groupBy("match_id").agg(F.round(F.min("average_skill_level"), 1).alias("v"))
+    return relations.alignment(a, b, "match_id", "v", 0.02).select("only_left", "only_right", "differing")
+
+
 @R_.add("""
 with j as (select distinct match_id, max(game_duration_sec) over (partition by match_id) d from match_table_v1), s as (select match_id, max(average_skill_level) y from skill_targets where match_id is not null group by 1)
 select count(*) n, round(avg(y), 8) mean, round(min(y), 8) low, round(max(y), 8) high, round(quantile_cont(y, 0.9), 8) p90 from j join s using (match_id)""")
@@ -124,12 +135,45 @@ def k_replace_children(t):
     return relations.replace_children(old, new, "k").groupBy("k", "n").agg(F.count("*").alias("copies"))
 
 
-def _documents(t):
-    d = nested.unwrapped(t.raw_match_docs.select("record_id", "received_at", "payload", "source_folder", "source_file"), "payload", place="doc_no")
-    return d.withColumn("m", read_documents(t.spark, F.col("payload"))).select("m.metadata", "m.info", "record_id", "doc_no", "received_at", "source_folder", "source_file")
+def _documents(t, *more: str):
+    """metadata, info, doc_no, folder and file of every received document, and further columns of its record."""
+    columns = ["source_folder", "source_file", *more]
+    d = nested.unwrapped(t.raw_match_docs.select("payload", *columns), "payload", place="doc_no")
+    return d.withColumn("m", read_documents(t.spark, F.col("payload"))).select("m.metadata", "m.info", "doc_no", *columns)
+
+
+# The received documents in SQL, unwrapped: d (record, place, match, folder, file, at, j), reasons and the players of the
+# usable documents, one of each match: pl (m, won, pos, j).
+_DOCS = r"""
+raw as (select record_id r, source_folder folder, source_file file, received_at got, ltrim(trim(payload), chr(65279)) x from raw_match_docs),
+w(r, folder, file, got, path, j) as (
+  select r, folder, file, got, []::int[], case when json_valid(x) then x::json end from raw
+  union all
+  select r, folder, file, got, list_append(path, k), e from (
+    select *, unnest(kids) e, unnest(range(len(kids)))::int k from (
+      select *, case json_type(j)
+        when 'VARCHAR' then case when json_valid(j->>'$') and ltrim(j->>'$')[1] in ('{', '[', '"') then [(j->>'$')::json] else [] end
+        when 'ARRAY' then json_extract(j, '$[*]')
+        when 'OBJECT' then case when json_type(j, '$.info') = 'OBJECT' then [] else json_extract(j, '$.*') end
+        else [] end kids from w where j is not null))),
+d as (select r, folder, file, got, path, j, coalesce(nullif(j->>'$.metadata.matchId', ''), regexp_replace(file, '\.json(\.zst)?$', '')) m,
+  case json_type(j, '$.info.participants') when 'ARRAY' then json_extract(j, '$.info.participants[*]') when 'OBJECT' then json_extract(j, '$.info.participants.*') end ps,
+  case json_type(j, '$.info.teams') when 'ARRAY' then json_extract(j, '$.info.teams[*]') when 'OBJECT' then json_extract(j, '$.info.teams.*') end ts,
+  try_cast(j->>'$.info.gameDuration' as double) dur, try_cast(j->>'$.info.gameStartTimestamp' as bigint) gs, try_cast(j->>'$.info.gameEndTimestamp' as bigint) ge
+  from w where json_type(j) = 'OBJECT' and json_type(j, '$.info') = 'OBJECT'),
+e as (select *, case when dur > 0 then dur when ge > gs and gs > 0 then (ge - gs) / 1000.0 else 0.0 end secs,
+  list_sort(list_transform(ps, lambda x: concat(coalesce(try_cast(x->>'$.teamId' as int)::varchar || '/', ''), coalesce(x->>'$.teamPosition', '')))) places,
+  list_distinct(list_transform(list_filter(ps, lambda x: try_cast(x->>'$.teamId' as int) = 100), lambda x: coalesce(try_cast(x->>'$.win' as boolean), false))) w1,
+  list_distinct(list_transform(list_filter(ps, lambda x: try_cast(x->>'$.teamId' as int) = 200), lambda x: coalesce(try_cast(x->>'$.win' as boolean), false))) w2 from d),
+g as (select *, case when coalesce(json_type(j, '$.metadata'), 'NULL') <> 'OBJECT' then 'missing_info_or_metadata' when coalesce(len(ps), 0) <> 10 then 'participant_count_not_10'
+  when coalesce(len(ts), 0) <> 2 or list_sort(list_transform(ts, lambda x: try_cast(x->>'$.teamId' as int))) <> [100, 200] then 'invalid_team_payload'
+  when places <> ['100/BOTTOM', '100/JUNGLE', '100/MIDDLE', '100/TOP', '100/UTILITY', '200/BOTTOM', '200/JUNGLE', '200/MIDDLE', '200/TOP', '200/UTILITY'] then 'invalid_team_positions'
+  when len(w1) <> 1 or len(w2) <> 1 or w1 = w2 then 'invalid_win_flags' when secs <= 0 then 'invalid_duration' else 'ok' end reason from e)"""
 
 
-@R_.add()
+@R_.add(f"""
+with recursive {_DOCS}
+select reason, count(*) n from (select reason from g union all select 'missing_info_or_metadata' from raw where r not in (select r from d)) group by 1""")
 def f_match_reasons(t):
     """Drop reasons of the received documents, however wrapped, read with the fixed schema."""
     return audit.reason_counts(_documents(t).withColumn("reason", drop_reason()))
@@ -139,7 +183,7 @@ def f_match_reasons(t):
 def f_match_features(t):
     """The 475-column rows of the received documents, one for each match: of its usable documents the first by folder,
     file, time of receipt, record and place in the record. The document is chosen first, its row made after."""
-    d = _documents(t).withColumn("_reason", drop_reason()).where("_reason = 'ok'").drop("_reason").withColumn("_match", match_id_of())
+    d = _documents(t, "record_id", "received_at").withColumn("_reason", drop_reason()).where("_reason = 'ok'").drop("_reason").withColumn("_match", match_id_of())
     order = F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("v")).alias(c) for c in ("source_folder", "source_file", "received_at", "record_id", "doc_no")])
     first = d.groupBy("_match").agg(F.min_by(F.struct("metadata", "info", "source_folder", "source_file"), order).alias("d"))
     return match_features(first.select("d.*"))
@@ -169,3 +213,83 @@ def a_patch_server_means(t):
     x = t.match_table_v1.where(F.col("patch").isNotNull() & F.col("server").isNotNull())
     g = statistics.mean_ci(x, ["patch", "server"], "game_duration_sec")
     return g.select("patch", "server", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
+
+
+def _families() -> tuple[list[str], str]:
+    """Columns of every family of `match_features`, and their SQL, written for each from its definition."""
+
+    def n(f):
+        return f"coalesce(try_cast(j->>'$.{f}' as double), 0)"
+
+    def at(side, pos, v):
+        return f"max({v}) filter ({'' if side == 'w' else 'not '}won and pos = '{pos}')"
+
+    def team(side, v, how="sum"):
+        return f"{how}({v}) filter ({'' if side == 'w' else 'not '}won)"
+
+    def pm(v):
+        return f"({v}) / (secs / 60)"
+
+    def both(pos, v, kind, q=lambda x: x):
+        w, l = q(at("w", pos, v)), q(at("l", pos, v))  # noqa: E741
+        return f"({w} + {l}) / 2" if kind == "avg" else f"{w} - {l}"
+
+    def share(pos, own, total):
+        one = [f"coalesce({at(s, pos, own)} / nullif(greatest({team(s, n(total))}, 0), 0), 0)" for s in "wl"]
+        return f"({one[0]} + {one[1]}) / 2"
+
+    def yes(v):
+        return f"case when coalesce(try_cast(j->>'$.{v}' as boolean), false) then 1.0 else 0.0 end"
+
+    def either(a, b):
+        return f"greatest({yes(a)}, {yes(b)})"
+
+    def objective(side, name, what):
+        return f"coalesce(try_cast({side}t->>'$.objectives.{name}.{what}' as double), 0)" if what == "kills" else f"case when coalesce(try_cast({side}t->>'$.objectives.{name}.first' as boolean), false) then 1.0 else 0.0 end"
+
+    def most(side, c):
+        return team(side, n(f"challenges.{c}"), "max")
+
+    def two(name, kind):
+        w, l = objective("w", name, "kills"), objective("l", name, "kills")  # noqa: E741
+        return f"({w} + {l}) / 2" if kind == "avg" else f"{w} - {l}"
+
+    pings = "allIn assistMe basic command danger enemyMissing enemyVision getBack hold needVision onMyWay push retreat visionCleared".split()
+    columns = {
+        "top_gold_pm_avg": both("TOP", n("goldEarned"), "avg", pm), "jungle_kills_pm_delta": both("JUNGLE", n("kills"), "delta", pm), "support_vision_pm_avg": both("UTILITY", n("visionScore"), "avg", pm),
+        "bottom_dmg_to_champs_pm_delta": both("BOTTOM", n("totalDamageDealtToChampions"), "delta", pm), "middle_xp_pm_delta": both("MIDDLE", n("champExperience"), "delta", pm),
+        "jungle_enemy_missing_pings_pm_avg": both("JUNGLE", n("enemyMissingPings"), "avg", pm), "middle_total_pings_pm_avg": both("MIDDLE", " + ".join(n(f"{x}Pings") for x in pings), "avg", pm),
+        "top_kp_share_avg": share("TOP", n("kills") + " + " + n("assists"), "kills"), "middle_gold_share_avg": share("MIDDLE", n("goldEarned"), "goldEarned"),
+        "bottom_damage_share_avg": share("BOTTOM", n("totalDamageDealtToChampions"), "totalDamageDealtToChampions"), "support_vision_share_avg": share("UTILITY", n("visionScore"), "visionScore"),
+        "jungle_enemy_jungle_cs_pm_delta": both("JUNGLE", n("totalEnemyJungleMinionsKilled"), "delta", pm),
+        "top_first_blood_delta": both("TOP", either("firstBloodKill", "firstBloodAssist"), "delta"), "jungle_first_tower_delta": both("JUNGLE", either("firstTowerKill", "firstTowerAssist"), "delta"),
+        "top_teleport_takedowns_pm_avg": both("TOP", n("challenges.teleportTakedowns"), "avg", pm), "bottom_turret_plates_taken_delta": both("BOTTOM", n("challenges.turretPlatesTaken"), "delta"),
+        "middle_solo_kills_pm_avg": both("MIDDLE", n("challenges.soloKills"), "avg", pm), "support_wards_guarded_pm_delta": both("UTILITY", n("challenges.wardsGuarded"), "delta", pm),
+        "top_effective_heal_and_shielding_pm_avg": both("TOP", n("challenges.effectiveHealAndShielding"), "avg", pm), "jungle_baron_takedowns_avg": both("JUNGLE", n("challenges.baronTakedowns"), "avg"),
+        "jungle_jungle_scuttle_crab_kills_pm_avg": both("JUNGLE", n("challenges.scuttleCrabKills"), "avg", pm),
+        "middle_rift_herald_takedown_delta": both("MIDDLE", f"case when {n('challenges.riftHeraldTakedowns')} > 0 then 1.0 else 0.0 end", "delta"),
+        "winner_earliest_baron": most("w", "earliestBaron"), "loser_earliest_baron": most("l", "earliestBaron"), "first_turret_killed_time": f"greatest({most('w', 'firstTurretKilledTime')}, {most('l', 'firstTurretKilledTime')})",
+        "team_elder_dragon_kills_avg": f"({most('w', 'teamElderDragonKills')} + {most('l', 'teamElderDragonKills')}) / 2", "winner_fountain_takedowns_sum": team("w", n("challenges.takedownsInEnemyFountain")),
+        "team_dragon_kills_avg": two("dragon", "avg"), "team_dragon_kills_pm_delta": pm(two("dragon", "delta")), "first_dragon_delta": f"{objective('w', 'dragon', 'first')} - {objective('l', 'dragon', 'first')}",
+        "team_tower_kills_delta": two("tower", "delta"), "rift_herald_kills_delta": two("riftHerald", "delta"), "team_grubs_kills_avg": two("horde", "avg"),
+        "fist_bump_participation_match_avg": f"sum({n('challenges.fistBumpParticipation')}) / 10",
+    }
+    return list(columns), ", ".join(f"round({v}, 6) {k}" for k, v in columns.items())
+
+
+_FAMILY_COLUMNS, _FAMILY_SQL = _families()
+
+
+@R_.add(f"""
+with recursive {_DOCS},
+one as (select * from g where reason = 'ok' qualify row_number() over (partition by m order by folder nulls last, file nulls last, got nulls last, r nulls last, path) = 1),
+ex as (select *, unnest(ps) pj from one),
+pl as (select m, folder, secs, ts, coalesce(j->>'$.info.gameVersion', '') v, coalesce(try_cast(j->>'$.info.queueId' as int), 0) q, coalesce(try_cast(pj->>'$.win' as boolean), false) won, pj->>'$.teamPosition' pos, try_cast(pj->>'$.teamId' as int) tid, pj from ex),
+pw as (select *, max(tid) filter (won) over (partition by m) wt, max(tid) filter (not won) over (partition by m) lt from pl),
+pt as (select m, folder, secs, v, q, won, pos, pj j, list_filter(ts, lambda x: try_cast(x->>'$.teamId' as int) = wt)[1] wt, list_filter(ts, lambda x: try_cast(x->>'$.teamId' as int) = lt)[1] lt from pw)
+select m match_id, folder source_folder, v game_version, case when contains(v, '.') then split_part(v, '.', 1) || '.' || split_part(v, '.', 2) else v end patch, q queue_id, split_part(m, '_', 1) server, round(secs, 6) game_duration_sec, {_FAMILY_SQL}
+from pt group by m, folder, secs, v, q, wt, lt""")
+def f_match_families(t):
+    """Columns of every family of the feature rows, one row for each match."""
+    d = f_match_features(t)
+    return d.select("match_id", "source_folder", "game_version", "patch", "queue_id", "server", F.round("game_duration_sec", 6).alias("game_duration_sec"), *[F.round(c, 6).alias(c) for c in _FAMILY_COLUMNS])

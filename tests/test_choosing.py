@@ -86,3 +86,50 @@ def test_health_alignment_and_children(spark):
     assert rows(relations.alignment(a, b, "i", "v")) == [(1, 1, 1)]
     kids = spark.createDataFrame([("p", 1), ("p", 2), ("q", 3)], "k string, c int")
     assert rows(relations.replace_children(kids, spark.createDataFrame([("p", 9)], "k string, c int"), "k")) == [("p", 9), ("q", 3)]
+
+
+def test_repeated_rows_have_one_place_each(spark):
+    """Equal rows: as many rows out as in, caps kept, whatever the order of input."""
+    data = [(7, 100.0), (7, 100.0), (7, 100.0), (8, 50.0), (8, 50.0), (None, None)]
+    for rows_in in (data, data[::-1]):
+        d = spark.createDataFrame(rows_in, "i int, lp double")
+        got = rows(choosing.capped_by_order(d, [F.desc("lp"), F.asc("i")], [("top", 2), ("next", 2)], "rest"))
+        assert got == sorted([(7, 100.0, "top"), (7, 100.0, "top"), (7, 100.0, "next"), (8, 50.0, "next"), (8, 50.0, "rest"), (None, None, "rest")], key=repr)
+
+
+def test_repeated_rows_in_every_choice(spark):
+    d = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("b", 5, 1), ("b", 5, 1), (None, 3, 3), (None, 3, 3)], "k string, v int, w int")
+    once = sorted([("a", 1, 2), ("b", 5, 1), (None, 3, 3)], key=repr)
+    assert rows(choosing.best_of_group(d, ["k"], [F.desc("v")])) == once
+    assert rows(choosing.best_struct(d, ["k"], [F.col("v")])) == once and rows(choosing.last_wins(d, ["k"], [F.col("v")])) == once
+    kept, counts = choosing.first_wins(d, ["k"], [F.col("v")])
+    assert rows(kept) == once and rows(counts) == [(3, 3)]
+    assert rows(choosing.coalesce_sources([("x", d), ("y", d)], ["k"]).select("k", "v", "w")) == once
+    ranked = choosing.winners_and_losers(d, ["k"], [F.desc("v")], [F.desc("v")])
+    assert rows(ranked.groupBy("k").agg(F.sum("rank"), F.count_if("tied"))) == sorted([("a", 3, 2), ("b", 3, 2), (None, 3, 2)], key=repr)
+    assert choosing.weighted_pick(d, ["k"], "w", ["v"], F.col("v")).count() == 3
+    assert choosing.hash_top_k(d, ["k"], 1, F.col("v"), ["w"]).count() == 3
+    assert choosing.stratified_slice(d, ["k"], F.col("v"), 4, [F.col("w")]).where("k is not null").count() <= 4
+    picked = choosing.quota_with_spill(d, "k", {"a": 1}, 3, [F.desc("v"), F.asc("w")])
+    assert picked.count() == 3 and picked.where("picked_as = 'quota'").count() == 1
+    assert choosing.band_fallthrough(d.where("k is not null"), ["k"], F.col("v")).count() == 4
+    assert rows(choosing.stratified_folds(d, ["k"], F.col("v"), 2).groupBy("k").agg(F.count_distinct("fold"))) == sorted([("a", 2), ("b", 2), (None, 2)], key=repr)
+    assert choosing.seeded_sample(d, "v", 1, 4).count() == 4
+    ids = d.withColumn("id", F.col("v"))
+    assert rows(choosing.first_per_signature(ids.where("k is not null"), "k", "id").select("k", "duplicate_of").distinct()) == [("a", None), ("b", None)]
+    assert choosing.sequential_split(d.where("k is not null"), "v").where("is_train").count() == 3
+
+
+def test_streaks_over_partitions(spark):
+    import itertools
+    import random
+
+    r = random.Random(4)
+    data = [(r.choice("aab") if i % 50 else None, i, r.choice([1, 1, 1, 2, None])) for i in range(3000)] + [("hot", 5000 + i, 1) for i in range(2000)]
+    want = []
+    for k, own in itertools.groupby(sorted(data, key=lambda x: (x[0] is not None, x[0] or "", x[1])), key=lambda x: x[0]):
+        for n, (v, run) in enumerate(itertools.groupby(own, key=lambda x: x[2]), 1):
+            want.append((k, v, len(list(run)), n))
+    df = spark.createDataFrame(data, "k string, at int, v int").repartition(7)
+    assert rows(choosing.streaks(df, ["k"], ["at"], "v")) == sorted(want, key=repr)
+    assert rows(choosing.streaks(df.limit(0), ["k"], ["at"], "v")) == []

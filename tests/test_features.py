@@ -105,4 +105,5 @@ def test_pages(spark, tmp_path):
     (tmp_path / "4.json").write_text('[{"a": 5}]')
     spark.dataSource.register(PageSource)
     d = spark.read.format("paged_json").option("path", str(tmp_path)).option("total", "6").option("count", "2").load()
-    assert rows(d) == [(0, '{"a": 1}'), (0, '{"a": 2}'), (4, '{"a": 5}')]
+    assert rows(d.where("error is null").drop("error")) == [(0, '{"a": 1}'), (0, '{"a": 2}'), (4, '{"a": 5}')]
+    assert rows(d.where("error is not null").select("start", "row")) == [(2, None)]

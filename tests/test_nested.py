@@ -108,3 +108,9 @@ def test_features_of_wrapped_documents(spark, tmp_path):
     records = [(json.dumps(DOC), "a", "1"), (json.dumps({"response": DOC}), "a", "2"), (json.dumps(json.dumps(DOC)), "a", "3"), ("{}", "a", "4")]
     spark.createDataFrame(records, "payload string, source_folder string, source_file string").write.parquet(f"{tmp_path}/raw_match_docs.parquet")
     assert rows(QUERIES["f_match_reasons"](spark, str(tmp_path))) == [("missing_info_or_metadata", 1), ("participant_count_not_10", 3)]
+
+
+def test_marked_and_padded_payloads_are_read(spark):
+    plain = json.dumps(DOC)
+    df = spark.createDataFrame([(0, "\ufeff" + plain), (1, "  " + plain + "\n")], "n int, payload string")
+    assert [json.loads(r["payload"]) for r in unwrapped(df, "payload").collect()] == [DOC, DOC]

@@ -96,3 +96,76 @@ def test_latest_state(spark):
     e = spark.createDataFrame([("a", 1, "pending", None), ("a", 2, "running", None), ("a", 3, "failed", "x" * 999), ("b", 1, "running", None)], "k string, t int, s string, err string")
     got = {r["k"]: (r["status"], r["attempts"], len(r["last_error"] or "")) for r in jobs.latest_states(e, "k", "s", ["t"], error="err").collect()}
     assert got == {"a": ("failed", 1, 400), "b": ("running", 1, 0)}
+
+
+def test_quantiles_of_hot_groups(spark):
+    import numpy as np
+    from quern.operators.quantiles import quantiles
+
+    r = np.random.default_rng(3)
+    data = [("a", float(x)) for x in r.normal(size=700)] + [("b", 5.0)] * 900 + [("c", None), (None, 1.0), (None, 3.0), ("d", 2.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    points = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {x["k"]: x["q"] for x in quantiles(df, ["k"], "v", points, "q").collect()}
+    assert set(got) == {"a", "b", "d", None}
+    for k in got:
+        assert np.allclose(got[k], np.quantile([v for g, v in data if g == k and v is not None], points), atol=1e-12)
+    every = quantiles(df, [], "v", points, "q").collect()
+    assert len(every) == 1 and np.allclose(every[0]["q"], np.quantile([v for _, v in data if v is not None], points))
+    assert [x["q"] for x in quantiles(df.limit(0), [], "v", points, "q").collect()] == [None]
+
+
+def test_fixpoint_goes_to_the_end_or_says_so(spark):
+    import pytest
+    from quern.operators.labels import fixpoint
+
+    start = spark.createDataFrame([(0,)], "n int")
+
+    def step(d):
+        n = d.first()["n"]
+        return d.selectExpr("least(n + 1, 60) as n"), int(n < 60)
+
+    assert rows(fixpoint(start, step, Workspace(spark, "fix"))) == [(60,)]
+    with pytest.raises(RuntimeError):
+        fixpoint(start, step, Workspace(spark, "fix"), most=5)
+
+
+def test_used_up_spaces_are_reported():
+    import pytest
+
+    space = {"maxDepth": (2, 3, "int")}
+    assert sum(t["outcome"] == "completed" for t in trees.unique_trials(2, 1, space)) == 2
+    with pytest.raises(ValueError):
+        trees.unique_trials(3, 1, space)
+
+
+def test_all_queued_players_but_a_rest_of_a_rank_play(spark):
+    """However crowded a rank is, fewer players than one game are left out of it."""
+    from pyspark.sql import functions as F
+
+    q = spark.range(1234).select("id", F.when(F.col("id") < 1207, 3).otherwise(9).alias("rank"), F.xxhash64("id").alias("_u"))
+    g = simulate.queue_games(q, [F.asc("_u")], 10)
+    assert rows(g.groupBy("rank").agg(F.count_if(~F.col("_plays")))) == [(3, 7), (9, 7)]
+    sizes = g.where("_plays").groupBy("rank", "_game").agg(F.count("*").alias("n"), F.sum("_side").alias("s"))
+    assert rows(sizes.select("n", "s").distinct()) == [(10, 5)]
+
+
+def test_apex_caps_and_skill_map(spark):
+    state = spark.createDataFrame([(i, float(i), 28 if i % 2 else 30, float(i % 7), 0, 0) for i in range(20)] + [(99, -1.0, 4, 50.0, 0, 0)], "id bigint, skill double, rank int, lp double, games int, streak int")
+    capped = simulate.apex_capped(state, 3, 5)
+    assert rows(capped.groupBy("rank").count()) == [(28, 12), (29, 5), (30, 3), (4, 1)]
+    order = sorted(range(20), key=lambda i: (-(i % 7), 0, i))
+    assert sorted(r["id"] for r in capped.where("rank = 30").collect()) == sorted(order[:3])
+    m = {r["rank"]: r for r in simulate.skill_map(capped).collect()}
+    assert m[4]["n"] == 1 and m[4]["p50"] == -1.0 and abs(m[4]["skill_percentile"] - 100 / 21) < 1e-9
+    alone = simulate.simulate(state, 1, Workspace(spark, "sim"), caps=(3, 5))
+    assert alone.count() == 21 and alone.where("rank = 30").count() <= 3
+
+
+def test_trailing_counts_of_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    data = [("a", s) for s in (0, 0, 5, 9, 10, 11, 3600, 3605, 7000)] + [(None, 3), (None, 4), ("b", None)]
+    got = rows(jobs.trailing_counts(spark.createDataFrame(data, "k string, s bigint"), ["k"], F.col("s"), 10))
+    want = [(k, s, None if s is None else sum(1 for kk, ss in data if kk == k and ss is not None and s - 10 < ss <= s)) for k, s in data]
+    assert got == sorted(want, key=repr)
