@@ -89,7 +89,15 @@ def kind(ch: str) -> tuple[str, float]:
     return "S", 2.5
 
 
-_WORDS = re.compile(r"\S*[^\x00-\x7f]\S*")
+# Stretches without ASCII white space that hold more than ASCII; a match starts only where a stretch does.
+_WORDS = re.compile(r"(?<!\S)[\x21-\x7f\x00-\x08\x0e-\x1f]*+[^\x00-\x7f]\S*+", re.ASCII)
+
+
+def _words(text: str) -> list[str]:
+    """As _WORDS finds them, without their places: bytes are parted faster, and at ASCII white space only."""
+    if text.isascii():
+        return []
+    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split() if not w.isascii()]
 
 
 @lru_cache(maxsize=65536)
@@ -148,7 +156,7 @@ def word_cost(w: str) -> float:
 
 
 def cost(text: str) -> float:
-    return sum(word_cost(m) for m in _WORDS.findall(text))
+    return sum(map(word_cost, _words(text)))
 
 
 @lru_cache(maxsize=65536)
@@ -433,13 +441,13 @@ def _excess(word: str) -> float:
 
 def _settled(text: str, words: set[str], least: float) -> bool:
     """Whether what is not among words is as plausible as its letters allow, to less than is evidence of damage."""
-    return sum(_excess(w) for w in _WORDS.findall(unescape(text)) if w not in words) <= least
+    return sum(_excess(w) for w in _words(unescape(text)) if w not in words) <= least
 
 
 def _search(text: str, least: float, step_cost: float, states: int | None) -> tuple[str, str, float, float] | None:
     """(best text, its path, price before, price after), or None where more than `states` states would be expanded."""
     start = price(text)
-    words = set(_WORDS.findall(unescape(text)))
+    words = set(_words(unescape(text)))
     best, settled = (start, text, ""), False
     # Both forms of a text are searched from before any result can end the search.
     seeds = [text, unescape(text)] if "&" in text and unescape(text) != text else [text]
@@ -540,7 +548,7 @@ def has_steps(text: str, least: float = 2.5) -> bool:
     if LOST in text:
         return True
     sums: dict[int, float] = {}
-    for w in _WORDS.findall(text):
+    for w in _words(text):
         hot, gains = _openings(w, least)
         if hot:
             return True
