@@ -39,7 +39,7 @@ def _store(spark: SparkSession, d: str) -> ComponentStore:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _store(spark, d).table().select(F.col("node").alias("match_id"), F.col("component").alias("group_key"))
+    return _store(spark, d).table("members").select(F.col("node").alias("match_id"), F.col("component").alias("group_key"))
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:

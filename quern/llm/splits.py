@@ -29,7 +29,7 @@ def _jump(ws: Workspace, parent: DataFrame, tag: str) -> DataFrame:
         step += 1
 
 
-def components(links: DataFrame, ws: Workspace, name: str = "components") -> DataFrame:
+def components(links: DataFrame, ws: Workspace, name: str = "components", kept: bool = False) -> DataFrame:
     """node, component: nodes that share a link (node string, h1, h2) directly or through others.
 
     component is the smallest node, in plain string order, of the whole component; every non-null node has one row.
@@ -39,11 +39,11 @@ def components(links: DataFrame, ws: Workspace, name: str = "components") -> Dat
     roots by pointer jumping, and renames the links; links that lead to one component only are done and leave. Links
     are only aggregated (combined before the shuffle) and joined (adaptive skew joins split a hot link), never
     collected. What a round leaves is written to the shared folder, which cuts the lineage; the rounds' renamings are
-    composed among themselves, the shortest first, and meet all nodes once.
+    composed among themselves, the shortest first, and meet all nodes once. kept: links are already distinct and saved.
     """
     nodes = links.where(F.col("node").isNotNull()).select("node").distinct()
-    live = links.where(F.col("node").isNotNull() & F.col("h1").isNotNull()).select("node", "h1", "h2").distinct()
-    live, k = ws.save(live, "links0"), 0
+    live = links.where(F.col("node").isNotNull() & F.col("h1").isNotNull()).select("node", "h1", "h2")
+    live, k = live if kept else ws.save(live.distinct(), "links0"), 0
     roots: list[DataFrame] = []
     while True:
         ends = live.groupBy("h1", "h2").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -56,10 +56,10 @@ def components(links: DataFrame, ws: Workspace, name: str = "components") -> Dat
         roots.append(root)
         moved = F.coalesce("root", "node").alias("node")
         nxt = joined.select("node", "h1", "h2").join(root, "node", "left").select(moved, "h1", "h2").distinct()
-        kept = ws.save(nxt, f"links{k + 1}")
+        fewer = ws.save(nxt, f"links{k + 1}")
         for old in (f"links{k}", f"hooks{k}"):
             ws.drop(old)
-        live, k = kept, k + 1
+        live, k = fewer, k + 1
     # A round renames only nodes that no earlier round did: its own and the composed ones of those after it are disjoint.
     composed = None
     for root in reversed(roots):
@@ -198,12 +198,17 @@ class ComponentStore:
         return last.select("component", "x.split", "x.n")
 
     def table(self, name: str = "nodes") -> DataFrame | None:
-        """nodes: node, component, split; keys: h1, h2, component; as of the last version. None before the first."""
+        """nodes: node, component, split; members: without the split; keys: h1, h2, component; as of the last version.
+
+        None before the first one.
+        """
         if not self.version:
             return None
         if name == "keys":
             return self._named_now(self._all("keys", "h1 bigint, h2 bigint, component string").drop("version")).select("h1", "h2", "component")
         nodes = self._named_now(self._all("nodes", "node string, component string").drop("version"))
+        if name == "members":
+            return nodes.select("node", "component")
         return nodes.join(self._groups().select("component", "split"), "component").select("node", "component", "split")
 
     def update(self, links: DataFrame) -> DataFrame:
@@ -224,7 +229,7 @@ class ComponentStore:
             tied = ws.save(self._named_now(keys).select(F.col("component").alias("node"), "h1", "h2"), "tied")
         mini = ws.save(mini.select("node", "h1", "h2", "known"), "mini") if self.version else mini
         named = mini.select(F.coalesce("known", "node").alias("node"), "h1", "h2")
-        comps = components(named if tied is None else named.unionByName(tied), ws)
+        comps = components(named, ws, kept=True) if tied is None else components(named.unionByName(tied), ws)
         # Old components among the names, with the split and size they had.
         touched = mini.where(F.col("known").isNotNull()).select(F.col("known").alias("component"))
         touched = (touched if tied is None else touched.unionByName(tied.select(F.col("node").alias("component")))).distinct()
