@@ -86,8 +86,8 @@ def apex_capped(state: DataFrame, challenger_cap: int, grandmaster_cap: int) ->
     return state.where(F.col("rank") < MASTER).unionByName(top.select(*state.columns))
 
 
-def simulate(state: DataFrame, rounds: int, ws: Workspace, every: int = 4, caps: tuple[int, int] | None = None, **options) -> DataFrame:
-    """The state after some rounds; it is written to the shared folder every few rounds, which cuts the lineage.
+def simulate(state: DataFrame, rounds: int, ws: Workspace, every: int = 1, caps: tuple[int, int] | None = None, **options) -> DataFrame:
+    """The state after some rounds; every `every` of them it is written to the shared folder, which cuts the lineage.
 
     caps: places for Challenger and GrandMaster, dealt out after every round; None leaves the ranks as played.
     """
