@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.sinks import _exists
 from quern.sources.tables import table
 
 
@@ -13,23 +14,25 @@ def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 100)
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", watermark: str = "10 minutes") -> DataFrame:
-    """A table as a stream, its `ts` as a UTC timestamp with a watermark."""
+    """A table, one file or a folder of them, as a stream, its `ts` as a UTC timestamp with a watermark."""
     schema = table(spark, folder, name).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    raw = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")  # a pattern, as a stream's plain path must be a folder
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
 def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into parquet under folder (append) or a memory table; gives the result."""
-    spark = df.sparkSession
+    """Runs a stream over all that is there into parquet under folder; gives the result.
+
+    In complete mode every batch writes the whole result over the one before, so that no result meets in the driver.
+    """
+    spark, out = df.sparkSession, f"{folder}/out"
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True)
     if mode == "append":
-        q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{folder}/out")
-    name = "s" + folder.rsplit("-", 1)[-1]
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+        w = w.format("parquet").option("path", out)
+    else:
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    w.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out) if _exists(spark, out) else spark.createDataFrame([], df.schema)
 
 
 def tumbling(e: DataFrame, width: str, keys: list[str], value: str, slide: str | None = None) -> DataFrame:
